@@ -175,7 +175,7 @@ def table_pairs(tables: Column) -> Column:
 def dl_pairs(markup: Column) -> Column:
     """Terms and descriptions of each list, matched by position."""
     def of_list(cells: Column) -> Column:
-        terms, values = (F.filter(cells, lambda c, t=t: c["tag"] == t) for t in ("dt", "dd"))
+        terms, values = F.filter(cells, lambda c: c["tag"] == "dt"), F.filter(cells, lambda c: c["tag"] == "dd")
         both = F.zip_with(terms, values, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), _pair(a["text"], b["text"])))
         return F.filter(both, lambda p: p["label"] != "")
 
@@ -272,7 +272,7 @@ def _labelled_cell(markup: Column) -> Column:
 def _free_label_value(markup: Column) -> Column:
     """Phone or text in the tags behind a stand-alone phone label, up to the next label."""
     parts = F.transform(
-        H.pieces(markup, "[a-z]"), lambda p: F.struct(p.alias("raw"), H.text_of(p).alias("text"))
+        H.pieces(markup, "[a-z][a-z0-9]*"), lambda p: F.struct(p.alias("raw"), H.text_of(p).alias("text"))
     )
 
     def look(ps: Column) -> Column:

@@ -18,7 +18,13 @@ COLUMNS = _strings(V.COLUMN_FIELDS, longs=())
 FAILS = _strings(V.FAIL_FIELDS, longs=())
 COUNTS = _strings(V.COUNT_FIELDS, longs=("views", "downloads"))
 FAIL_LOG = T.StructType([T.StructField("line_no", T.LongType())] + FAILS.fields)
-LISTING_PAGES = T.StructType.fromDDL(
-    "org string, page_no int, list_url string, status int, html string"
+
+
+def _typed(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+LISTING_PAGES = _typed(
+    org=T.StringType(), page_no=T.IntegerType(), list_url=T.StringType(), status=T.IntegerType(), html=T.StringType()
 )
-DETAIL_PAGES = T.StructType.fromDDL("url string, status int, html string, fetched_at timestamp")
+DETAIL_PAGES = _typed(url=T.StringType(), status=T.IntegerType(), html=T.StringType(), fetched_at=T.TimestampType())

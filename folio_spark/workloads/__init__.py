@@ -1,4 +1,4 @@
 """Queries over the shared tables, one per operator, with SQL equivalents."""
 
-from . import listing_queries  # noqa: F401
+from . import listing_queries, detail_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -27,7 +27,7 @@ def oracle_connection(sf_dir: str):
 
 def _rows(df: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, float):
             return round(v, 6)
@@ -50,10 +50,11 @@ def mismatch(spark: SparkSession, con, fn, sql: str | None, sf_dir: str) -> tupl
         return f"rows {len(a)} != {len(b)}; only ours {extra}; only SQL {short}", len(got)
     bad = [(x, y) for x, y in zip(a, b) if x != y]
     if bad:
-        return f"{len(bad)} rows differ, columns {sorted(got.columns)}, first ours {bad[0][0]} SQL {bad[0][1]}", len(got)
-    types = [type(v).__name__ for v in a[0]] if a else []
-    other = [type(v).__name__ for v in b[0]] if b else []
-    return (f"types {types} != {other}" if types != other else None), len(got)
+        names = sorted(got.columns)
+        first = {n: (x, y) for n, x, y in zip(names, *bad[0]) if x != y}
+        return f"{len(bad)} rows differ, first (ours, SQL) {first}", len(got)
+    kinds = [[isinstance(v, str) for v in rows[0]] for rows in (a, b) if rows]
+    return ("text against number" if kinds and kinds[0] != kinds[1] else None), len(got)
 
 
 def main() -> None:
