@@ -81,7 +81,7 @@ def _is_heading_row(cells: Column) -> Column:
     return X.let(
         keys,
         lambda k: (F.size(k) == 0)
-        | F.forall(k, lambda x: x.isin(SKIP_NORMS))
+        | F.forall(k, lambda x: X.is_in(x, SKIP_NORMS))
         | X.any_of(V.SUBHEADER_RUNS, F.array_join(k, ""))
         | (F.array_contains(k, "항목명") & (F.array_contains(k, "데이터타입") | F.array_contains(k, "항목설명"))),
     )
@@ -101,7 +101,7 @@ def column_rows(tables: Column) -> Column:
 
     def is_real(r: Column) -> Column:
         joined = X.norm_key(F.concat_ws(" ", r["name"], r["descr"], r["dtype"], r["length"]))
-        named = (r["name"] != "") & ~X.norm_key(r["name"]).isin(SKIP_NORMS)
+        named = (r["name"] != "") & ~X.is_in(X.norm_key(r["name"]), SKIP_NORMS)
         filled = (r["descr"] != "") | (r["dtype"] != "") | (r["length"] != "")
         return named & filled & ~X.any_of(V.SUBHEADER_RUNS_LATE, joined)
 
@@ -120,9 +120,8 @@ def phone_from_element(raw: Column) -> Column:
     """Phone in an element's text, else in its scripts, else in its attributes."""
     scripts = F.transform(F.regexp_extract_all(raw, F.lit(H.PLAIN_SCRIPT), F.lit(1)), lambda s: X.clean_text(s))
     tags = F.regexp_extract_all(raw, F.lit(r"<[a-zA-Z][^>]*>"), F.lit(0))
-    attributes = F.flatten(
-        F.transform(tags, lambda t: F.array(*[X.clean_text(H.attribute(t, a)) for a in V.PHONE_ATTRIBUTES]))
-    )
+    values = F.flatten(F.transform(tags, lambda t: H.attributes(t, V.PHONE_ATTRIBUTES)))
+    attributes = F.transform(values, lambda v: X.clean_text(v))
     sources = F.filter(F.concat(F.array(H.text_of(raw)), scripts, attributes), lambda s: s != "")
 
     def pick(s: Column) -> Column:
@@ -137,7 +136,7 @@ def _pair(label: Column, value: Column) -> Column:
 
 
 def _cell_value(label: Column, cell: Column) -> Column:
-    hidden = X.norm_key(label).isin(PHONE_NORMS) & (X.phone_number(cell["text"]) == "")
+    hidden = X.is_in(X.norm_key(label), PHONE_NORMS) & (X.phone_number(cell["text"]) == "")
     return F.when(hidden, X.first_filled(phone_from_element(cell["raw"]), cell["text"])).otherwise(cell["text"])
 
 
@@ -190,7 +189,7 @@ def text_block(text: Column) -> Column:
 
     def scored(raw: Column, i: Column) -> Column:
         def score(block: Column) -> Column:
-            labels = reduce(lambda a, b: a + b, [block.contains(F.lit(x)).cast("int") for x in V.BLOCK_LABELS])
+            labels = F.size(F.filter(X.word_array(V.BLOCK_LABELS), lambda x: F.contains(block, x)))
             named = block.contains(V.BLOCK_NAME_LABEL)
             opening = F.substring(raw, 1, 20).contains(V.BLOCK_NAME_LABEL)
             bonus = F.when(opening, 20).otherwise(0) + F.when(named, 5).when(block.contains(V.BLOCK_SERVICE_WORD), -5).otherwise(0)
@@ -248,8 +247,8 @@ def invalid_reason(text: Column, block: Column) -> Column:
         listing = (head.contains(V.LIST_PAGE_QUESTION) & (searched | found)) | (
             head.contains(V.LIST_PAGE_NAME) & found & searched
         )
-        errors = [F.when(head.contains(F.lit(p)), F.lit(f"UNAVAILABLE_PAGE:{p}")) for p in V.UNAVAILABLE_PHRASES]
-        return F.when(listing, "DATASET_LIST_PAGE").otherwise(F.coalesce(*errors, F.lit("")))
+        said = F.get(F.filter(X.word_array(V.UNAVAILABLE_PHRASES), lambda p: F.contains(head, p)), F.lit(0))
+        return F.when(listing, "DATASET_LIST_PAGE").otherwise(F.coalesce(F.concat(F.lit("UNAVAILABLE_PAGE:"), said), F.lit("")))
 
     return F.when(text == "", "EMPTY_BODY").when(block != "", "").otherwise(X.let(F.substring(text, 1, V.INVALID_HEAD), judged))
 
@@ -259,7 +258,7 @@ def _labelled_cell(markup: Column) -> Column:
     """Value cell behind the first phone label in a table row or definition list (null if none)."""
     def values(cells: Column) -> Column:
         def behind(c: Column, i: Column) -> Column:
-            is_label = c["tag"].isin("th", "dt") & X.norm_key(c["text"]).isin(PHONE_NORMS)
+            is_label = c["tag"].isin("th", "dt") & X.is_in(X.norm_key(c["text"]), PHONE_NORMS)
             rest = F.slice(cells, i + 2, F.greatest(F.size(cells) - i - 1, F.lit(0)))
             return F.when(is_label, F.get(F.filter(rest, lambda x: x["tag"].isin("td", "dd")), F.lit(0)))
 
@@ -280,7 +279,7 @@ def _free_label_value(markup: Column) -> Column:
             window = F.slice(ps, i + 2, F.least(F.greatest(F.size(ps) - i - 1, F.lit(0)), F.lit(V.PHONE_LOOKAHEAD_TAGS)))
 
             def cut(w: Column) -> Column:
-                stops = F.array_position(F.transform(w, lambda x: X.norm_key(x["text"]).isin(LABEL_NORMS)), F.lit(True))
+                stops = F.array_position(F.transform(w, lambda x: X.is_in(X.norm_key(x["text"]), LABEL_NORMS)), F.lit(True))
                 return F.slice(w, F.lit(1), F.when(stops > 0, stops.cast("int") - 1).otherwise(F.size(w)))
 
             def value(w: Column) -> Column:
@@ -289,7 +288,7 @@ def _free_label_value(markup: Column) -> Column:
                 plain = X.let(joined, lambda j: F.when(X.is_portal_phone(j), "").otherwise(X.first_filled(X.phone_number(j), j)))
                 return X.first_filled(F.coalesce(F.get(phones, F.lit(0)), F.lit("")), plain)
 
-            return F.when(X.norm_key(p["text"]).isin(PHONE_NORMS), X.let(X.let(window, cut), value)).otherwise("")
+            return F.when(X.is_in(X.norm_key(p["text"]), PHONE_NORMS), X.let(X.let(window, cut), value)).otherwise("")
 
         return F.coalesce(F.get(F.filter(F.transform(ps, behind), lambda v: v != ""), F.lit(0)), F.lit(""))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text, let
+from .text import clean_text, let, sql_text, word_array
 
 COMMENT = r"<!--.*?(?:-->|\z)"
 # A script without markup of its own stays for the phone look-up; any other goes.
@@ -21,33 +21,29 @@ HIDDEN = (
 )
 PLAIN_SCRIPT = r"(?i)<script\b[^>]*>([^<]*)</script\s*>"
 SHOWN_BREAK = r"(?i)<script\b[^>]*>[^<]*</script\s*>|<[a-zA-Z/!?][^>]*>"
-# Character references found on catalogue pages (fixed values); ``&amp;`` is undone last.
+# Character references found on catalogue pages (fixed values).
 NAMED = {
     "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "middot": "·",
     "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
     "bull": "•", "times": "×", "laquo": "«", "raquo": "»", "deg": "°", "trade": "™", "euro": "€", "amp": "&",
 }
-NUMERIC_REF = r"^&#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));"
-
-
-def _numeric_refs(c: Column) -> Column:
-    def piece(p: Column) -> Column:
-        dec, hexa = F.regexp_extract(p, NUMERIC_REF, 1), F.regexp_extract(p, NUMERIC_REF, 2)
-        code = F.coalesce(F.nullif(hexa, F.lit("")), F.hex(dec.try_cast("long")))
-        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-        return F.when(p.rlike(NUMERIC_REF), F.concat(char, F.regexp_replace(p, NUMERIC_REF, ""))).otherwise(p)
-
-    return F.array_join(F.transform(F.split(c, "(?=&#)"), piece), "")
+REFERENCE = r"^&(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|([a-zA-Z]+));"
 
 
 def unescape(c: Column) -> Column:
-    def named(t: Column) -> Column:
-        out = F.when(t.contains("&#"), _numeric_refs(t)).otherwise(t)
-        for name, char in NAMED.items():
-            out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-        return out
+    """Decode character references, each exactly once."""
+    names = F.expr("map(" + ", ".join(f"{sql_text(n)}, {sql_text(ch)}" for n, ch in NAMED.items()) + ")")
+
+    def piece(p: Column) -> Column:
+        number = F.coalesce(
+            F.nullif(F.regexp_extract(p, REFERENCE, 2), F.lit("")), F.hex(F.regexp_extract(p, REFERENCE, 1).try_cast("long"))
+        )
+        char = F.coalesce(
+            F.try_element_at(names, F.regexp_extract(p, REFERENCE, 3)), F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
+        )
+        return F.when(p.startswith("&"), F.coalesce(F.concat(char, F.regexp_replace(p, REFERENCE, "")), p)).otherwise(p)
 
-    return let(c, lambda t: F.when(t.contains("&"), named(t)).otherwise(t))
+    return let(c, lambda t: F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "(?=&)"), piece), "")).otherwise(t))
 
 
 def visible(html: Column) -> Column:
@@ -65,6 +61,22 @@ def attribute(tag: Column, name: str) -> Column:
     return unescape(F.regexp_replace(raw, "^[\"']|[\"']$", ""))
 
 
+def attributes(tag: Column, names: list[str]) -> Column:
+    """Values of several attributes of a tag, in the order of ``names``; absent ones are left out."""
+    pattern = F.lit(rf"(?is)\s({'|'.join(names)})\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+    found = F.struct(
+        F.transform(F.regexp_extract_all(tag, pattern, F.lit(1)), lambda n: F.lower(n)).alias("n"),
+        F.regexp_extract_all(tag, pattern, F.lit(2)).alias("v"),
+    )
+    values = let(
+        found,
+        lambda f: F.transform(word_array(names), lambda n: F.get(f["v"], F.array_position(f["n"], n).cast("int") - 1)),
+    )
+    return F.transform(
+        F.filter(values, lambda v: v.isNotNull()), lambda v: unescape(F.regexp_replace(v, "^[\"']|[\"']$", ""))
+    )
+
+
 def pieces(markup: Column, tags: str) -> Column:
     """Pieces of markup that start at an opening tag of ``tags`` (``"li"``, ``"t[hd]"``)."""
     start = rf"(?i)^<(?:{tags})\b"

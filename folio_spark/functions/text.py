@@ -29,8 +29,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def word_array(words: list[str]) -> Column:
+    """Constant array; one small node in the plan however long the list is."""
+    return F.expr("array(" + ", ".join(map(sql_text, words)) + ")")
+
+
 def any_of(words: list[str], text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(F.lit(w)) for w in words])
+    return F.exists(word_array(words), lambda w: F.contains(text, w))
+
+
+def is_in(text: Column, words: list[str]) -> Column:
+    return F.array_contains(word_array(words), text)
 
 
 def first_filled(*values: Column) -> Column:
@@ -72,9 +86,8 @@ def clean_filename(c: Column) -> Column:
 
 # --- D4-D8 titles --------------------------------------------------------------
 def _cut_at_marker(s: Column) -> Column:
-    hits = [F.locate(m, s) for m in V.TITLE_CUT_MARKERS]
-    cut = F.least(*[F.when(h > 1, h) for h in hits])
-    return F.when(cut.isNull(), s).otherwise(F.substring(s, F.lit(1), cut - 1))
+    hits = F.filter(F.transform(word_array(V.TITLE_CUT_MARKERS), lambda m: F.position(m, s)), lambda p: p > 1)
+    return F.substring(s, F.lit(1), F.coalesce(F.array_min(hits) - 1, F.length(s)))
 
 
 def clean_dataset_title(c: Column, unwrap: bool = True) -> Column:
@@ -106,31 +119,30 @@ def is_menu_title(c: Column) -> Column:
     """True for blank text, portal menu words and two long menu phrases."""
     return let(
         clean_text(c),
-        lambda t: (t == "") | any_of(V.MENU_PHRASES, t) | erase(t, LABEL_NOISE).isin(norm_words(V.MENU_WORDS)),
+        lambda t: (t == "") | any_of(V.MENU_PHRASES, t) | is_in(erase(t, LABEL_NOISE), norm_words(V.MENU_WORDS)),
     )
 
 
 def list_title(title: Column, raw_title: Column) -> Column:
-    def usable(c: Column) -> Column:
-        return let(clean_dataset_title(c), lambda t: F.when(~is_menu_title(t), t).otherwise(""))
+    cleaned = F.transform(F.array(title, raw_title), lambda c: clean_dataset_title(c))
+    return F.coalesce(F.get(F.filter(cleaned, lambda t: ~is_menu_title(t)), F.lit(0)), F.lit(""))
+
 
-    return first_filled(usable(title), usable(raw_title))
+def chosen_title(listed: Column, title_source: Column, fallback: Column) -> Column:
+    """Listing title, corrected by the detail title unless the anchor itself gave it."""
+    trusted = is_in(clean_text(title_source), ["anchor", "detail_anchor"])
+    detail = let(strip_date_suffix(fallback), lambda t: F.when(is_menu_title(t), "").otherwise(t))
+
+    def differs(d: Column) -> Column:
+        a, b = (F.transform(F.array(listed, d), lambda t: title_for_compare(t))[i] for i in (0, 1))
+        return a != b
+
+    corrected = let(detail, lambda d: F.when((d != "") & differs(d), d).otherwise(listed))
+    return F.when(listed == "", detail).when(trusted, listed).otherwise(corrected)
 
 
 def dataset_title(title: Column, raw_title: Column, title_source: Column, fallback: Column) -> Column:
-    """Listing title, corrected by the detail title unless the anchor itself gave it."""
-    both = F.struct(
-        list_title(title, raw_title).alias("listed"),
-        let(strip_date_suffix(fallback), lambda t: F.when(is_menu_title(t), "").otherwise(t)).alias("detail"),
-    )
-    trusted = clean_text(title_source).isin("anchor", "detail_anchor")
-    return let(
-        both,
-        lambda b: F.when(b["listed"] == "", b["detail"])
-        .when(trusted | (b["detail"] == ""), b["listed"])
-        .when(title_for_compare(b["listed"]) != title_for_compare(b["detail"]), b["detail"])
-        .otherwise(b["listed"]),
-    )
+    return let(list_title(title, raw_title), lambda listed: chosen_title(listed, title_source, fallback))
 
 
 # --- D11, D13 --------------------------------------------------------------------
@@ -143,7 +155,7 @@ def detect_formats(c: Column) -> Column:
     words = F.regexp_extract_all(
         F.upper(clean_text(c)), F.lit(rx(r"\b(?:" + "|".join(sorted(V.FORMATS, key=len, reverse=True)) + r")\b")), F.lit(0)
     )
-    return F.array_intersect(F.array(*[F.lit(f) for f in V.FORMATS]), words)
+    return F.array_intersect(word_array(V.FORMATS), words)
 
 
 # --- D15-D20 numbers ---------------------------------------------------------------
@@ -235,9 +247,9 @@ def block_signal(c: Column) -> Column:
     """struct(blocked, signal): first error-page phrase or pattern near the top of a page."""
 
     def first_signal(head: Column) -> Column:
-        phrase = [F.when(head.contains(F.lit(p)), F.lit(p)) for p in V.BLOCK_PHRASES]
-        pattern = [F.when(head.rlike(rx(p, True)), F.lit(p)) for p in V.BLOCK_PATTERNS]
-        return F.coalesce(*phrase, *pattern, F.lit(""))
+        phrase = F.get(F.filter(word_array(V.BLOCK_PHRASES), lambda p: F.contains(head, p)), F.lit(0))
+        pattern = F.coalesce(*[F.when(head.rlike(rx(p, True)), F.lit(p)) for p in V.BLOCK_PATTERNS])
+        return F.coalesce(phrase, F.when(any_of(V.BLOCK_PATTERN_HINTS, head), pattern), F.lit(""))
 
     head = F.substring(clean_text(c), 1, V.BLOCK_HEAD)
     return let(let(head, first_signal), lambda s: F.struct((s != "").alias("blocked"), s.alias("signal")))

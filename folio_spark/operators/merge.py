@@ -110,7 +110,7 @@ def normalize_columns(df: DataFrame, line: str = "line_no") -> DataFrame:
     )
     text = {c: X.clean_text(F.col(c)) for c in ("dataset_name", "name", "descr", "dtype", "length")}
     valued = (text["descr"] != "") | (text["dtype"] != "") | (text["length"] != "")
-    is_real = (text["name"] != "") & ~X.norm_key(F.col("name")).isin(SKIP_NORMS) & valued
+    is_real = (text["name"] != "") & ~X.is_in(X.norm_key(F.col("name")), SKIP_NORMS) & valued
     is_empty = (text["dataset_name"] != "") & (text["name"] == "") & ~valued
     kept = rows.select("*", is_real.alias("_real")).where(is_real | is_empty)
 

@@ -266,6 +266,7 @@ BLOCK_PATTERNS = [
     r"\bStatus\s*Code\s*[:=]?\s*429\b", r"\bStatus\s*Code\s*[:=]?\s*403\b",
     r"페이지\s*접근이\s*제한되었습니다", r"접근\s*권한이\s*없습니다",
 ]
+BLOCK_PATTERN_HINTS = ["429", "403", "접근"]  # every pattern above contains one of these
 SHORT_HTML_SIGNALS = ["EMPTY_OR_SHORT_HTML", "RETRY_FAILED_EMPTY_OR_SHORT_HTML"]
 RETRY_WAIT_SECONDS = 180
 BLOCK_COOLDOWN_STEP = 4

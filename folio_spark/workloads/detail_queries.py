@@ -390,7 +390,7 @@ def c12_minimal_name(spark, sf_dir):
     title = F.when(seg == "BUILDING", M.cat("CSV ", F.col("c_name"), " Update")).when(seg == "MACHINERY", "로그인").otherwise("")
     raw = F.when(seg == "MACHINERY", M.cat("raw ", key)).otherwise("데이터 목록")
     url = F.when(seg == "FURNITURE", M.cat(PORTAL + "/data/", key)).otherwise(M.cat(PORTAL + "/view?no=", key))
-    return table(spark, sf_dir, "customer").select("c_custkey", D.minimal_name(title, raw, url, F.col("c_custkey") + 5).alias("dataset_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", D.minimal_name(X.list_title(title, raw), url, F.col("c_custkey") + 5).alias("dataset_name"))
 
 
 DETAIL_SQL = LINES + f""",
