@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text, let, sql_text, word_array
+from .text import clean_text, filled, let, sql_text, word_array
 
 COMMENT = r"<!--.*?(?:-->|\z)"
 # A script without markup of its own stays for the phone look-up; any other goes.
@@ -36,7 +36,7 @@ def unescape(c: Column) -> Column:
 
     def piece(p: Column) -> Column:
         number = F.coalesce(
-            F.nullif(F.regexp_extract(p, REFERENCE, 2), F.lit("")), F.hex(F.regexp_extract(p, REFERENCE, 1).try_cast("long"))
+            filled(F.regexp_extract(p, REFERENCE, 2)), F.hex(F.regexp_extract(p, REFERENCE, 1).try_cast("long"))
         )
         char = F.coalesce(
             F.try_element_at(names, F.regexp_extract(p, REFERENCE, 3)), F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")

@@ -47,9 +47,14 @@ def is_in(text: Column, words: list[str]) -> Column:
     return F.array_contains(word_array(words), text)
 
 
+def filled(value: Column) -> Column:
+    """The value, null when blank. Computed once, unlike ``nullif``, which repeats its input."""
+    return let(value, lambda v: F.when(v != "", v))
+
+
 def first_filled(*values: Column) -> Column:
-    """First value that is not blank, else ``""``."""
-    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
+    """First value that is not blank, else ``""``; later ones are only computed when needed."""
+    return F.coalesce(*[filled(v) for v in values], F.lit(""))
 
 
 def erase(text: Column, pattern: str, ignore_case: bool = False) -> Column:
@@ -199,7 +204,7 @@ def card_counts_int(c: Column) -> Column:
     """struct(views, downloads) as longs, 0 when absent; accepts the looser labels."""
 
     def number(found: Column, text: Column, pattern: str) -> Column:
-        loose = F.nullif(F.regexp_extract(text, rx(pattern), 1), F.lit(""))
+        loose = filled(F.regexp_extract(text, rx(pattern), 1))
         return F.coalesce(_bare(F.coalesce(found, loose)).try_cast("long"), F.lit(0).cast("long"))
 
     return let(

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab as V
-from .text import clean_text, first_filled, let
+from .text import clean_text, filled, first_filled, let
 
 URL_PARTS = r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 DATASET_ID = r"/(?:data|dataset)/(\d+)"
@@ -170,7 +170,7 @@ def org_from_url(url: Column) -> Column:
     """Organisation named by a list address, null when none of the three keys is filled."""
     return let(
         query_pairs(url),
-        lambda p: F.coalesce(*[F.nullif(last_param(p, F.lit(k)), F.lit("")) for k in V.ORG_KEYS]),
+        lambda p: F.coalesce(*[filled(last_param(p, F.lit(k))) for k in V.ORG_KEYS]),
     )
 
 

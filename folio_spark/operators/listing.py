@@ -103,7 +103,7 @@ def cards(pages: DataFrame) -> DataFrame:
         F.coalesce("counts.downloads", F.lit("")).alias("downloads"),
         "detail_url",
         F.col("list_url").alias("source_list_url"),
-        *[F.nullif(X.labelled_value(F.col("text"), label), F.lit("")).alias(k) for k, label in V.CARD_TARGETS.items()],
+        *[X.filled(X.labelled_value(F.col("text"), label)).alias(k) for k, label in V.CARD_TARGETS.items()],
     )
 
 

@@ -323,7 +323,7 @@ def c7_candidates(spark, sf_dir):
         "url", F.when(broken, "HTTP status=503").alias("error"), F.col("form").alias("form")
     )
     items = part.select("p_partkey", forms[0].alias("detail_url"))
-    found, missed = A.first_success(items, parsed, PORTAL)
+    found, missed = A.split_chosen(A.choose_response(items, parsed, PORTAL))
     return found.select("p_partkey", F.col("page.form").cast("long").alias("used")).unionByName(
         missed.select("p_partkey", F.lit(None).cast("long").alias("used"))
     )
@@ -432,5 +432,5 @@ def c31_fail_rows(spark, sf_dir):
         F.when(F.col("c_nationkey") < 10, "3").otherwise("").alias("downloads"), F.lit("9").alias("download_count"),
     ).withColumn("title", F.lit(""))
     parsed = customer.where("c_mktsegment <> 'BUILDING'").select(url.alias("url"), F.lit("HTTP status=403").alias("error"), F.lit(1).alias("any"))
-    _, missed = A.first_success(items, parsed, PORTAL)
+    _, missed = A.split_chosen(A.choose_response(items, parsed, PORTAL))
     return A.fail_rows(missed, "fetch_detail_httpx", "2024-01-01 00:00:00")
