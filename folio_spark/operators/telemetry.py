@@ -241,5 +241,5 @@ def block_cooldowns(signals: DataFrame, enabled: bool = False) -> DataFrame:
     pause = F.least(
         F.lit(V.BLOCK_COOLDOWN_MAX), V.BLOCK_COOLDOWN_STEP * F.least(F.col("n_signals"), F.lit(V.BLOCK_COOLDOWN_STEPS))
     ).cast("long")
-    until = F.unix_micros("ts") / 1_000_000 + pause if enabled else F.lit(0.0)
+    until = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 + pause if enabled else F.lit(0.0)
     return counted.select("job_id", "ts", "signal_id", "n_signals", pause.alias("cooldown"), until.cast("double").alias("cooldown_until"))
