@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import PORTAL, table
+from .registry import PORTAL, stored, table
 
 CARDS_PER_PAGE_KEYS = 100
 
@@ -52,7 +52,7 @@ def part_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("p_partkey", card(F.col("p_partkey"), F.col("p_name"), F.col("org"), F.col("p_type"), F.col("p_size")).alias("li")).alias("c"),
     )
     pages = rows.groupBy("org", "page_no").agg(F.array_sort(F.collect_list("c")).alias("cs"), F.count("*").alias("n"))
-    return pages.select(
+    return stored(pages, "page_no").select(
         "org",
         "page_no",
         F.concat(F.lit(PORTAL + "/list?org="), F.url_encode("org"), F.lit("&currentPage="), F.col("page_no").cast("string")).alias("list_url"),
@@ -75,7 +75,7 @@ def dotted_date(c: Column) -> Column:
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
-    return orders.join(customer, orders.o_custkey == customer.c_custkey).select(
+    return stored(orders.join(customer, orders.o_custkey == customer.c_custkey), "o_orderkey").select(
         "o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority",
         F.floor("o_totalprice").cast("long").alias("total"), "c_name", "c_mktsegment", "c_custkey",
     )
@@ -126,7 +126,8 @@ def order_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("c"),
     )
     rows = F.transform(F.array_sort(F.collect_list("c")), lambda c: c["tr"])
-    return li.groupBy("l_orderkey").agg(cat("<table>", COLUMN_HEAD, F.array_join(rows, ""), "</table>").alias("columns_html"))
+    grouped = li.groupBy("l_orderkey").agg(cat("<table>", COLUMN_HEAD, F.array_join(rows, ""), "</table>").alias("columns_html"))
+    return stored(grouped, "l_orderkey")
 
 
 def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +142,7 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = cat("<h1>안내</h1><p>잘못된 접근입니다</p>")
     filler = F.lit("<footer>" + "고객지원 " * 120 + "</footer>")
     joined = facts.join(cols, facts.o_orderkey == cols.l_orderkey, "left")
-    return joined.select(
+    return stored(joined, "o_orderkey").select(
         "o_orderkey",
         order_url(F.col("o_orderkey")).alias("url"),
         F.lit(200).alias("status"),

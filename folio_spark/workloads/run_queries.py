@@ -19,7 +19,7 @@ from ..sources import tables as B
 from ..streaming import ingest
 from . import markup as M
 from .detail_queries import DETAIL_SQL, LINE_KEY, line_key
-from .registry import PORTAL, query, table
+from .registry import PORTAL, query, stored, table
 
 def scratch(spark, name: str) -> str:
     """A new folder under the shared folder, for queries that write and read back."""
@@ -346,7 +346,7 @@ def order_listing(spark, sf_dir) -> DataFrame:
     li = M.card(F.col("o_orderkey"), F.col("c_name"), F.col("c_mktsegment"), F.col("o_orderstatus"), F.day("o_orderdate"))
     rows = facts.select(F.col("c_mktsegment").alias("org"), page.alias("page_no"), F.struct("o_orderkey", li.alias("li")).alias("c"))
     pages = rows.groupBy("org", "page_no").agg(F.array_sort(F.collect_list("c")).alias("cs"), F.count("*").alias("n"))
-    return pages.select(
+    return stored(pages, "page_no").select(
         "org", "page_no", F.lit(PORTAL + "/list").alias("list_url"), F.lit(200).alias("status"),
         M.listing_page(F.transform("cs", lambda c: c["li"]), F.col("n")).alias("html"),
     )
