@@ -142,7 +142,8 @@ def id_tag(name: str) -> str:
 def by_class(markup: Column, name: str, tag: str = "[a-z][a-z0-9]*") -> Column:
     """Contents of elements carrying a class, in page order (flat elements)."""
     pattern = rf"(?is)<({tag})\b[^>]*{_class_attr(name)}[^>]*>(.*?)</\1\s*>"
-    return F.regexp_extract_all(markup, F.lit(pattern), F.lit(2))
+    found = F.regexp_extract_all(markup, F.lit(pattern), F.lit(2))
+    return F.when(markup.contains("class") & markup.contains(name), found).otherwise(F.array().cast("array<string>"))
 
 
 def by_tag(markup: Column, tag: str) -> Column:

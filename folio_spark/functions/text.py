@@ -10,12 +10,14 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 
 WS = r"[\s\x1c-\x1f]"
+# White space that is not already one plain space, so that tidy text is left untouched.
+UNTIDY = r"[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
 LABEL_NOISE = r"[\s\x1c-\x1f:：·ㆍ\-_/\[\]()]"
 FILENAME_NOISE = r'[\\/:*?"<>|]'
 
@@ -29,6 +31,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def where_once(df: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
+    """Filter on computed columns without computing them a second time.
+
+    A plain filter is moved below the projection and repeats its expressions there; that is
+    right for cheap columns and wrong for extracted ones.
+    """
+    return df.select(F.inline(F.filter(F.array(F.struct(*df.columns)), keep)))
+
+
 def sql_text(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -76,8 +87,12 @@ def norm_words(words: list[str]) -> list[str]:
 
 # --- D1-D3 ---------------------------------------------------------------------
 def clean_text(c: Column) -> Column:
-    filled = F.coalesce(c.cast("string"), F.lit(""))
-    return F.trim(F.regexp_replace(filled, rx(WS + "+"), " "))
+    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), rx(UNTIDY), " "))
+
+
+def is_blank(c: Column) -> Column:
+    """``clean_text(c) == ""`` without cleaning: stops at the first visible character."""
+    return ~F.coalesce(c.rlike(rx(r"[^\s\x1c-\x1f]")), F.lit(False))
 
 
 def norm_key(c: Column) -> Column:
@@ -156,9 +171,12 @@ def is_short_html_error(c: Column) -> Column:
 
 
 def detect_formats(c: Column) -> Column:
-    """File formats named in the text, in the fixed order; one pass over the text."""
+    """File formats named in the text, in the fixed order; one pass over the text.
+
+    Cleaning first would change nothing: it only touches white space between words.
+    """
     words = F.regexp_extract_all(
-        F.upper(clean_text(c)), F.lit(rx(r"\b(?:" + "|".join(sorted(V.FORMATS, key=len, reverse=True)) + r")\b")), F.lit(0)
+        F.upper(F.coalesce(c, F.lit(""))), F.lit(rx(r"\b(?:" + "|".join(sorted(V.FORMATS, key=len, reverse=True)) + r")\b")), F.lit(0)
     )
     return F.array_intersect(word_array(V.FORMATS), words)
 
@@ -249,14 +267,14 @@ def normalize_date(c: Column) -> Column:
 
 # --- D22 blocked responses -----------------------------------------------------------
 def block_signal(c: Column) -> Column:
-    """struct(blocked, signal): first error-page phrase or pattern near the top of a page."""
+    """struct(blocked, signal): first error-page phrase or pattern near the top of clean text."""
 
     def first_signal(head: Column) -> Column:
         phrase = F.get(F.filter(word_array(V.BLOCK_PHRASES), lambda p: F.contains(head, p)), F.lit(0))
         pattern = F.coalesce(*[F.when(head.rlike(rx(p, True)), F.lit(p)) for p in V.BLOCK_PATTERNS])
         return F.coalesce(phrase, F.when(any_of(V.BLOCK_PATTERN_HINTS, head), pattern), F.lit(""))
 
-    head = F.substring(clean_text(c), 1, V.BLOCK_HEAD)
+    head = F.substring(c, 1, V.BLOCK_HEAD)
     return let(let(head, first_signal), lambda s: F.struct((s != "").alias("blocked"), s.alias("signal")))
 
 

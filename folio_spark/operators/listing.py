@@ -115,29 +115,38 @@ def _simple_cards(pages: DataFrame, portal_base: str, with_file_list: bool) -> D
             return main
         return X.let(main, lambda m: F.when(F.size(m) > 0, m).otherwise(_list_items(markup, FILE_LIST)))
 
+    def linked(li: Column) -> Column:
+        first = F.get(H.detail_anchors(li), F.lit(0))
+        return X.let(
+            first,
+            lambda a: F.struct(li.alias("li"), U.absolute_url(F.lit(portal_base), a["href"]).alias("url"), a["body"].alias("body")),
+        )
+
+    def usable(i: Column) -> Column:
+        return (i["url"] != "") & U.is_counts_url(i["url"])
+
+    kept = F.filter(F.transform(items(F.col("markup")), linked), usable)
     rows = pages.select(*CARD_KEYS, H.visible(F.col("html")).alias("markup")).select(
-        *CARD_KEYS, F.posexplode(items(F.col("markup"))).alias("pos", "li")
+        *CARD_KEYS, F.posexplode(kept).alias("pos", "c")
     )
-    linked = rows.select("*", F.get(H.detail_anchors(F.col("li")), F.lit(0)).alias("a")).where(F.col("a").isNotNull())
-    return linked.select(
+    return rows.select(
         *CARD_KEYS,
         "pos",
-        "li",
-        U.absolute_url(F.lit(portal_base), F.col("a.href")).alias("detail_url"),
+        "c.li",
+        F.col("c.url").alias("detail_url"),
         H.text_of(
             F.coalesce(
-                F.get(H.by_class(F.col("li"), "title", "span"), F.lit(0)),
-                F.get(H.by_class(F.col("li"), "title"), F.lit(0)),
-                F.col("a.body"),
+                F.get(H.by_class(F.col("c.li"), "title", "span"), F.lit(0)),
+                F.get(H.by_class(F.col("c.li"), "title"), F.lit(0)),
+                F.col("c.body"),
             )
         ).alias("raw_title"),
-    ).where(U.is_counts_url(F.col("detail_url")))
+    )
 
 
 def counts_cards(pages: DataFrame, portal_base: str) -> DataFrame:
     """Title with view and download counts per card."""
-    rows = _simple_cards(pages, portal_base, with_file_list=True)
-    return rows.select(
+    rows = _simple_cards(pages, portal_base, with_file_list=True).select(
         "org",
         "page_no",
         "pos",
@@ -145,7 +154,8 @@ def counts_cards(pages: DataFrame, portal_base: str) -> DataFrame:
         X.card_counts_int(H.text_of(F.col("li"))).alias("counts"),
         "detail_url",
         "list_url",
-    ).where(F.col("title") != "").select(
+    )
+    return X.where_once(rows, lambda r: r["title"] != "").select(
         "org", "page_no", "pos", "title", "counts.views", "counts.downloads", "detail_url", "list_url"
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -12,6 +12,7 @@ from .. import vocab as V
 from ..functions import text as X
 from ..functions import urls as U
 from ..functions.detail_html import SKIP_NORMS
+from ..session import durable
 from ..sources.tables import align
 from .numbering import number_rows
 
@@ -108,20 +109,21 @@ def normalize_columns(df: DataFrame, line: str = "line_no") -> DataFrame:
     rows = align(moved, S.COLUMNS).select("*") if line not in df.columns else moved.select(
         line, *[F.col(c).cast("string").alias(c) if c in moved.columns else F.lit("").alias(c) for c, _ in V.COLUMN_FIELDS]
     )
-    text = {c: X.clean_text(F.col(c)) for c in ("dataset_name", "name", "descr", "dtype", "length")}
-    valued = (text["descr"] != "") | (text["dtype"] != "") | (text["length"] != "")
-    is_real = (text["name"] != "") & ~X.is_in(X.norm_key(F.col("name")), SKIP_NORMS) & valued
-    is_empty = (text["dataset_name"] != "") & (text["name"] == "") & ~valued
-    kept = rows.select("*", is_real.alias("_real")).where(is_real | is_empty)
+    blank = {c: X.is_blank(F.col(c)) for c in ("dataset_name", "name", "descr", "dtype", "length")}
+    valued = ~(blank["descr"] & blank["dtype"] & blank["length"])
+    is_real = ~blank["name"] & valued & ~X.is_in(X.norm_key(F.col("name")), SKIP_NORMS)
+    is_empty = ~blank["dataset_name"] & blank["name"] & ~valued
+    # Read three times below: once for the flag, once to number, once for the empty rows.
+    kept = durable(rows.select("*", is_real.alias("_real"), is_empty.alias("_empty")).where("_real or _empty").drop("_empty"))
 
     number = F.col("seq_in_page").try_cast("double")
     unusable = kept.where("_real").agg(F.coalesce(F.max(number.isNull()), F.lit(False))).scalar()
     real = number_rows(kept.where("_real").withColumn("_bad", unusable), [line], "_n", within=("detail_url",))
     seq = F.when(F.col("_bad"), F.col("_n")).otherwise(number.cast("long"))
-    blank = {c: F.lit("") for c, _ in V.COLUMN_FIELDS if c != "dataset_name"}
+    emptied = {c: F.lit("") for c, _ in V.COLUMN_FIELDS if c != "dataset_name"}
     names = [c for c, _ in V.COLUMN_FIELDS]
     return real.withColumn("seq_in_page", seq.cast("string")).select(line, *names).unionByName(
-        kept.where(~F.col("_real")).withColumns(blank).select(line, *names)
+        kept.where(~F.col("_real")).withColumns(emptied).select(line, *names)
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import text as X
+from ..session import durable
 from .numbering import number_rows, running, sorted_slices
 
 LIST_CAP = 30
@@ -136,8 +137,12 @@ def message_steps(msg: Column) -> Column:
 
 def progress_events(log: DataFrame, total_pages: Column | int = 0) -> DataFrame:
     """Progress events of crawl logs with the percent shown after each."""
-    line = X.let(F.trim("line"), lambda t: log_steps(t, total_pages))
-    steps = log.select("job_id", "line_no", line.alias("s")).where("s is not null").select("job_id", "line_no", "s.*")
+    lines = log.select("job_id", "line_no", F.trim("line").alias("line"))
+    read = X.where_once(
+        lines.select("job_id", "line_no", log_steps(F.col("line"), total_pages).alias("s")), lambda r: r["s"].isNotNull()
+    )
+    # Sorting reads its input twice (sample, then shuffle); the few progress lines are kept for that.
+    steps = durable(read.select("job_id", "line_no", "s.*"))
     return running_percent(steps, ["job_id"], ["line_no"]).drop("kind", "val")
 
 
@@ -172,26 +177,34 @@ def counts_percent(line: Column, expected_pages: Column | int) -> Column:
 
 def download_events(log: DataFrame, expected_pages: Column | int = 1) -> DataFrame:
     """Each download log line with its class, counters so far and percent (E5)."""
-    def classify(t: Column) -> Column:
-        page = X.first_filled(*[F.regexp_extract(t, X.rx(p), 1) for p in V.DL_PAGE])
-        targets = F.regexp_extract(t, X.rx(V.DL_TARGETS), 1)
-        cur, total = (F.regexp_extract(t, X.rx(V.DL_ITEM), i) for i in (1, 2))
-        kind = (
-            F.when(page != "", "page")
-            .when(targets != "", "targets")
-            .when(cur != "", "item")
-            .when(t.contains(V.DL_CURRENT_SAVED), "current_saved")
-            .when(_has_all(t, V.DL_HISTORY), "past_saved")
-            .when(X.any_of(V.DL_FAILED, t), "failed")
-            .when(t.contains(V.DL_DONE), "done")
-            .otherwise("other")
-        )
-        whole = F.when(targets != "", X.progress_int(targets)).otherwise(F.greatest(total.try_cast("long"), F.lit(1)))
-        return F.struct(
-            kind.alias("kind"), page.try_cast("long").alias("page"), cur.try_cast("long").alias("cur"), whole.alias("whole")
+    read = log.select("job_id", "line_no", X.clean_text(F.col("line")).alias("t"))
+    t = F.col("t")
+    captured = read.select(
+        "*",
+        X.first_filled(*[F.regexp_extract(t, X.rx(p), 1) for p in V.DL_PAGE]).alias("page"),
+        F.regexp_extract(t, X.rx(V.DL_TARGETS), 1).alias("targets"),
+        *[F.regexp_extract(t, X.rx(V.DL_ITEM), i).alias(n) for i, n in ((1, "item"), (2, "of"))],
+    )
+    kind = (
+        F.when(F.col("page") != "", "page")
+        .when(F.col("targets") != "", "targets")
+        .when(F.col("item") != "", "item")
+        .when(t.contains(V.DL_CURRENT_SAVED), "current_saved")
+        .when(_has_all(t, V.DL_HISTORY), "past_saved")
+        .when(X.any_of(V.DL_FAILED, t), "failed")
+        .when(t.contains(V.DL_DONE), "done")
+        .otherwise("other")
+    )
+    whole = F.when(F.col("targets") != "", X.progress_int(F.col("targets"))).otherwise(
+        F.greatest(F.col("of").try_cast("long"), F.lit(1))
+    )
+    # Sorting reads its input twice (sample, then shuffle); the short classified rows are kept for that.
+    lines = durable(
+        captured.select(
+            "job_id", "line_no", kind.alias("kind"), F.col("page").try_cast("long").alias("page"),
+            F.col("item").try_cast("long").alias("cur"), whole.alias("whole"),
         )
-
-    lines = log.select("job_id", "line_no", X.let(X.clean_text(F.col("line")), classify).alias("c")).select("job_id", "line_no", "c.*")
+    )
     is_kind = {k: (F.col("kind") == k).cast("long") for k in ("current_saved", "past_saved", "failed")}
     counted = running(
         lines,
