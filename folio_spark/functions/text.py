@@ -51,7 +51,7 @@ def word_array(words: list[str]) -> Column:
 
 
 def any_of(words: list[str], text: Column) -> Column:
-    return F.exists(word_array(words), lambda w: F.contains(text, w))
+    return let(text, lambda t: F.exists(word_array(words), lambda w: F.contains(t, w)))
 
 
 def is_in(text: Column, words: list[str]) -> Column:
