@@ -296,10 +296,11 @@ def event_attempts(spark, sf_dir):
 d AS (SELECT detail_url, min(CASE WHEN ok OR block THEN attempt END) AS first_decided, max(attempt) AS last_at FROM per GROUP BY 1)
 SELECT d.detail_url, CASE WHEN f.ok THEN 'success' WHEN f.block THEN 'deferred_block' WHEN l.short THEN 'deferred_short_html' ELSE 'failed' END AS outcome,
   coalesce(first_decided, last_at) AS decided_at,
-  CASE WHEN f.ok THEN '' WHEN f.block THEN 'deferred_block_httpx' WHEN l.short THEN 'deferred_short_html_httpx' ELSE 'fetch_detail_httpx' END AS stage
+  CASE WHEN f.ok THEN '' WHEN f.block THEN 'deferred_block_httpx' WHEN l.short THEN 'deferred_short_html_httpx' ELSE 'fetch_detail_httpx' END AS stage,
+  CASE WHEN f.ok THEN '' WHEN f.block THEN 'deferred_saved_only' WHEN l.short THEN 'playwright_fallback_failed' ELSE 'fetch_detail_httpx' END AS saved_as
 FROM d LEFT JOIN per f ON f.detail_url = d.detail_url AND f.attempt = first_decided JOIN per l ON l.detail_url = d.detail_url AND l.attempt = last_at""")
 def c9_routing(spark, sf_dir):
-    return A.route(event_attempts(spark, sf_dir))
+    return A.route(event_attempts(spark, sf_dir)).withColumn("saved_as", A.saved_stage(F.col("outcome")))
 
 
 @query("c7_candidates", """

@@ -82,3 +82,20 @@ def test_running_values_across_slices(spark):
         state[g] = (t, m, last)
         want[k] = state[g]
     assert {r.k: (r.t, r.m, r.l) for r in got} == want
+
+
+def test_item_cap_by_numbering_equals_limit(spark, monkeypatch):
+    items = spark.range(50).select((F.col("id") % 7).alias("page_no"), F.col("id").alias("pos"))
+    short = {(r.page_no, r.pos) for r in L.cap_items(items, 9).collect()}
+    monkeypatch.setattr(L, "TOP_N_IN_ONE_TASK", 0)
+    assert {(r.page_no, r.pos) for r in L.cap_items(items, 9).collect()} == short and len(short) == 9
+    assert L.cap_items(items, 0).count() == 50
+
+
+def test_error_page_ends_counts_walk(spark):
+    from folio_spark.plans.counts import org_counts_report
+
+    page = '<div class="result-list"><ul><li><a href="/data/{n}/fileData.do">도로_{n}</a></li></ul></div>'
+    rows = [("o", n, "l", 500 if n == 2 else 200, page.replace("{n}", str(n))) for n in (1, 2, 3)]
+    pages = spark.createDataFrame(rows, "org string, page_no int, list_url string, status int, html string")
+    assert [r.title for r in org_counts_report(pages, "https://portal.example").collect()] == ["도로_1"]
