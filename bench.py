@@ -9,8 +9,7 @@ import json
 import os
 import time
 
-from pyspark.sql import SparkSession
-
+from folio_spark.session import build_session
 from folio_spark.workloads import QUERIES
 
 HEADLINE = [
@@ -23,14 +22,14 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("folio_spark-bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "20g")
-        .config("spark.ui.enabled", "false")
-        .getOrCreate()
+    spark = build_session(
+        "folio_spark-bench",
+        **{
+            "spark.master": f"local[{cpus}]",
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.driver.memory": "20g",
+            "spark.ui.enabled": "false",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/orders.parquet").count()  # start-up is not part of a query

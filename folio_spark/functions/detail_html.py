@@ -210,8 +210,11 @@ def block_pairs(block: Column) -> Column:
     names = F.regexp_extract_all(block, F.lit(f"({labels})"), F.lit(1))
     texts = F.split(block, labels)
 
+    def cut(v: Column) -> Column:
+        return reduce(lambda t, stop: X.clean_text(F.substring_index(t, stop, 1)), V.BLOCK_STOP_PHRASES, v)
+
     def value(t: Column) -> Column:
-        return reduce(lambda v, stop: X.clean_text(F.substring_index(v, stop, 1)), V.BLOCK_STOP_PHRASES, X.clean_text(t))
+        return X.let(X.clean_text(t), lambda v: F.when(X.any_of(V.BLOCK_STOP_PHRASES, v), cut(v)).otherwise(v))
 
     behind = F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0)))
     return F.zip_with(names, behind, lambda n, t: _pair(n, value(t)))

@@ -9,6 +9,7 @@ from .. import vocab as V
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import urls as U
+from ..session import durable
 from .numbering import number_rows
 
 RESULT_LIST = H.class_tag("div", "result-list")
@@ -238,7 +239,12 @@ def stop_pages(first: DataFrame, group: str = "org") -> DataFrame:
 
 
 def walk(first: DataFrame, group: str = "org") -> DataFrame:
-    """Keep what a page-by-page walk would have reached. ``first`` should be durable."""
+    """Keep what a page-by-page walk would have reached.
+
+    The first sightings are read four times (three for the stop pages), so they are cut here
+    and the pages behind them are parsed once.
+    """
+    first = durable(first)
     stops = stop_pages(first, group)
     return first.join(stops, group).where(F.col("page_no") < F.col("stop_page")).drop("stop_page")
 

@@ -13,6 +13,10 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Cut points are files; drop them once nothing refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Call sites are recorded per column expression, which the page rules have thousands of.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
