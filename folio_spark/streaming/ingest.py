@@ -70,7 +70,8 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         percent = min(percent, LIST_CAP) if kind == "held" else percent
         shown.append(int(percent))
     state.update((int(percent),))
-    yield steps.assign(percent=shown).drop(columns=["kind", "val"])
+    counts = {c: "Int64" for c in ("done", "total", "ok", "fail")}  # absent counts stay null
+    yield steps.astype(counts).assign(percent=shown).drop(columns=["kind", "val"])
 
 
 def progress_stream(log: DataFrame, total_pages: int = 0) -> DataFrame:

@@ -328,6 +328,35 @@ def a3_a9_fail_log_csv(spark, sf_dir):
     return back.select("collected_at", "stage", "dataset_name", F.trim("url").alias("url"), "seq", "error")
 
 
+@query("a1_listing_source", """
+WITH l AS (SELECT p_brand AS org, p_partkey // 100 + 1 AS page_no FROM part UNION ALL SELECT p_brand, p_partkey // 100 + 2 FROM part WHERE p_size > 40)
+SELECT org, count(DISTINCT page_no) AS pages, max(page_no) AS last_page FROM l GROUP BY 1""")
+def a1_listing_source(spark, sf_dir):
+    path = scratch(spark, "listing")
+    M.part_listing(spark, sf_dir).write.partitionBy("org").parquet(path)
+    pages = B.listing_pages(spark, path)
+    return pages.groupBy("org").agg(F.count("*").alias("pages"), F.max("page_no").cast("long").alias("last_page"))
+
+
+@query("a2_detail_source", """
+SELECT 'https://portal.example/data/' || o_orderkey || '/fileData.do' AS url, CAST(200 AS BIGINT) AS status FROM orders""")
+def a2_detail_source(spark, sf_dir):
+    path = scratch(spark, "detail")
+    M.order_pages(spark, sf_dir).select("url", "status", "html").write.parquet(path)
+    return B.detail_pages(spark, path).select("url", F.col("status").cast("long").alias("status"))
+
+
+@query("a4_previous_metadata", """
+SELECT 'stored' AS kind, count(*) AS n, count(DISTINCT o_custkey) FILTER (o_orderpriority <> '5-LOW') AS seqs FROM orders
+UNION ALL SELECT 'missing', 0, 0""")
+def a4_previous_metadata(spark, sf_dir):
+    path = scratch(spark, "previous")
+    B.save_metadata(order_metadata(spark, sf_dir), path, headers=False, arrival=("line_no",))
+    runs = {"stored": B.previous_metadata(spark, path), "missing": B.previous_metadata(spark, path + "-none")}
+    counted = [r.agg(F.lit(k).alias("kind"), F.count("*").alias("n"), F.countDistinct("seq").alias("seqs")) for k, r in runs.items()]
+    return counted[0].unionByName(counted[1])
+
+
 @query("a10_counts_sink", """SELECT p_name AS "데이터명", p_partkey * 7 AS "조회수", CAST(p_size AS BIGINT) AS "다운로드수", 'u' || p_partkey AS "상세페이지 URL" FROM part""")
 def a10_counts_sink(spark, sf_dir):
     path = scratch(spark, "counts")
