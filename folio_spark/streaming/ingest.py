@@ -57,7 +57,7 @@ def seen_urls(urls: DataFrame, out: str, checkpoint: str):
     )
 
 
-PROGRESS = "job_id long, line_no long, event string, done long, total long, ok long, fail long, percent long"
+PROGRESS = "line_no long, event string, done long, total long, ok long, fail long, percent long"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -79,6 +79,7 @@ def progress_stream(log: DataFrame, total_pages: int = 0) -> DataFrame:
     job's last percent is the state. A batch holds the lines of one trigger, so its size is
     bounded by the source's files per trigger."""
     steps = log.select("job_id", "line_no", log_steps(F.trim("line"), total_pages).alias("s")).where("s is not null")
+    job = log.schema["job_id"].dataType.simpleString()
     return steps.select("job_id", "line_no", "s.*").groupBy("job_id").applyInPandasWithState(
-        _advance, PROGRESS, "percent long", "append", GroupStateTimeout.NoTimeout
+        _advance, f"job_id {job}, {PROGRESS}", "percent long", "append", GroupStateTimeout.NoTimeout
     )
