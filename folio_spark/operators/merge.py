@@ -97,7 +97,10 @@ def reconcile_fails(old: DataFrame, succeeded: DataFrame, failed_again: DataFram
 
 
 def normalize_columns(df: DataFrame, line: str = "line_no") -> DataFrame:
-    """Clean a stored column table and renumber it where its numbers are unusable."""
+    """Clean a stored column table and renumber it where its numbers are unusable.
+
+    ``line`` is the stored order of the rows. One unusable number anywhere renumbers all.
+    """
     def filled(new: str, legacy: str) -> Column:
         if new not in df.columns:
             return F.col(legacy) if legacy in df.columns else F.lit("")
@@ -106,9 +109,9 @@ def normalize_columns(df: DataFrame, line: str = "line_no") -> DataFrame:
         return F.when(F.trim(new) == "", F.col(legacy)).otherwise(F.col(new))
 
     moved = df.withColumns({"descr": filled("descr", "legacy_descr"), "length": filled("length", "legacy_length")})
-    rows = align(moved, S.COLUMNS).select("*") if line not in df.columns else moved.select(
-        line, *[F.col(c).cast("string").alias(c) if c in moved.columns else F.lit("").alias(c) for c, _ in V.COLUMN_FIELDS]
-    )
+    rows = moved.select(line, *[c.cast("string").alias(n) for n, c in (
+        (n, F.col(n) if n in moved.columns else F.lit("")) for n, _ in V.COLUMN_FIELDS
+    )])
     blank = {c: X.is_blank(F.col(c)) for c in ("dataset_name", "name", "descr", "dtype", "length")}
     valued = ~(blank["descr"] & blank["dtype"] & blank["length"])
     is_real = ~blank["name"] & valued & ~X.is_in(X.norm_key(F.col("name")), SKIP_NORMS)

@@ -27,6 +27,9 @@ def build_session(app: str = "folio_spark", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_LOCAL_DIRS: dict[str, str] = {}  # application id -> temporary folder of a local session
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
@@ -35,11 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="folio-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="folio-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def durable(df: DataFrame) -> DataFrame:

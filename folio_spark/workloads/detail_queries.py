@@ -30,11 +30,11 @@ def pair_rows(df, pairs):
 
 
 @query("b7_b8_pairs", FACTS + f"""
-SELECT o_orderkey, 0 AS ord, '제공기관' AS label, c_mktsegment AS value FROM f
+SELECT o_orderkey, CAST(0 AS BIGINT) AS ord, '제공기관' AS label, c_mktsegment AS value FROM f
 UNION ALL SELECT o_orderkey, 1, '관리부서명', c_name FROM f
 UNION ALL SELECT o_orderkey, 2, '등록일', {SHORT_DATE} FROM f
 UNION ALL SELECT o_orderkey, 3, '키워드', o_orderpriority FROM f
-UNION ALL SELECT o_orderkey, 4, '매체유형', o_orderstatus || ' &' FROM f""".replace("SELECT o_orderkey, 0 AS ord", "SELECT o_orderkey, CAST(0 AS BIGINT) AS ord"))
+UNION ALL SELECT o_orderkey, 4, '매체유형', o_orderstatus || ' &' FROM f""")
 def b7_b8_pairs(spark, sf_dir):
     pages = M.order_facts(spark, sf_dir).select("o_orderkey", H.visible(M.th_td_table()).alias("markup"))
     tables = pages.select("o_orderkey", DH.tables_with_headers(F.col("markup")).alias("tables"))
@@ -88,7 +88,7 @@ def b12_b13_columns(spark, sf_dir):
 
 @query("b12_header_kinds", """
 SELECT p_partkey, CASE WHEN p_size <= 10 THEN '1:1:2:3:0' WHEN p_size <= 20 THEN '1:1:2:0:0' WHEN p_size <= 30 THEN '2:2:0:1:3'
-  WHEN p_size <= 40 THEN '' ELSE '' END AS header FROM part""")
+  ELSE '' END AS header FROM part""")
 def b12_header_kinds(spark, sf_dir):
     def head(*names):
         return M.row(*[("th", n) for n in names])

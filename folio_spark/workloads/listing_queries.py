@@ -6,11 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab as V
-from ..functions import html as H
-from ..functions import text as X
 from ..functions import urls as U
 from ..operators import listing as L
-from ..operators.numbering import number_rows
 from ..plans.counts import org_counts_report
 from ..sources.frontier import frontier, orgs_from_urls
 from . import markup as M
@@ -201,8 +198,7 @@ def f_url_builder(spark, sf_dir):
 
 
 @query("a6_direct_items", """
-SELECT s_name AS org, CASE WHEN s_nationkey < 12 THEN 'https://portal.example/dataset/' || s_suppkey
-  ELSE 'https://portal.example/x?dataId=' || s_suppkey END AS detail_url, 'direct_url' AS title_source, '' AS title
+SELECT s_name AS org, 'https://portal.example/dataset/' || s_suppkey AS detail_url, 'direct_url' AS title_source, '' AS title
 FROM supplier WHERE s_nationkey < 12""")
 def a6_direct_items(spark, sf_dir):
     key = F.col("s_suppkey").cast("string")

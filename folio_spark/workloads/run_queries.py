@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .. import vocab as V
-from ..functions import text as X
 from ..operators import downloads as W
 from ..operators import merge as G
 from ..operators import telemetry as T
