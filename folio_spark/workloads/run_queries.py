@@ -233,8 +233,8 @@ r AS (SELECT *, CASE event WHEN 'list_page' THEN least(30, greatest(0, val)) ELS
   UNION ALL SELECT v.*, CASE v.event WHEN 'list_page' THEN least(30, greatest(r.percent, v.val)) WHEN 'recovery' THEN greatest(r.percent, v.val)
     WHEN 'finish' THEN greatest(r.percent, v.val) ELSE v.val END FROM r JOIN v ON v.job_id = r.job_id AND v.i = r.i + 1)
 SELECT job_id, line_no, event, CASE event WHEN 'list' THEN n WHEN 'list_page' THEN n * 100 WHEN 'detail' THEN n END AS done,
-  CASE event WHEN 'list' THEN 500 WHEN 'list_page' THEN 40000 WHEN 'detail' THEN 500 WHEN 'urls_done' THEN 913 END AS total,
-  CASE WHEN event = 'detail' THEN n END AS ok, CASE WHEN event = 'detail' THEN 0 END AS fail, CAST(percent AS BIGINT) AS percent FROM r"""
+  CAST(CASE event WHEN 'list' THEN 500 WHEN 'list_page' THEN 40000 WHEN 'detail' THEN 500 WHEN 'urls_done' THEN 913 END AS BIGINT) AS total,
+  CASE WHEN event = 'detail' THEN n END AS ok, CAST(CASE WHEN event = 'detail' THEN 0 END AS BIGINT) AS fail, CAST(percent AS BIGINT) AS percent FROM r"""
 
 
 @query("e3_progress", E3_SQL)
