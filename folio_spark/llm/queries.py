@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import line_dedup, poisson_mix, preference_chat, simhash
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,27 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op1_lines(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5_simhash(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_chat.op9_preference(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op9_preference"] = preference_chat.OP9_SQL
+
+
+@_query
+def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mix.op10_mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_poisson_mix"] = poisson_mix.OP10_SQL
