@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice_lm, line_dedup, poisson_mix, preference_chat, simhash
+from . import chunks, lattice_lm, line_dedup, poisson_mix, preference_chat, simhash
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5_simhash(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op7_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.fingerprints_with_next(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_chat.op9_preference(table(spark, sf_dir, "conversations"))
