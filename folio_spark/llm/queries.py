@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, lattice_lm, line_dedup, poisson_mix, preference_chat, simhash
+from . import chunks, crf_language, lattice_lm, line_dedup, poisson_mix, preference_chat, simhash
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_language.op4_language(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5_simhash(table(spark, sf_dir, "documents"))
