@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, crf_language, lattice_lm, line_dedup, poisson_mix, preference_chat, simhash
+from . import cgk_decontam, chunks, crf_language, lattice_lm, line_dedup, poisson_mix, preference_chat, simhash
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5_simhash(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cgk_decontam.op6_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op7_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.fingerprints_with_next(table(spark, sf_dir, "documents"))
