@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cgk_decontam, chunks, crf_language, lattice_lm, line_dedup, poisson_mix, preference_chat, simhash
+from . import cgk_decontam, chunks, crf_language, lattice_lm, line_dedup, poisson_mix, preference_chat, simhash, site_style
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op1_lines(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.op2_main_text(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_texts(table(spark, sf_dir, "documents"))
