@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cgk_decontam, chunks, crf_language, lattice_lm, line_dedup, poisson_mix, preference_chat, simhash, site_style
+from . import cgk_decontam, chunks, crf_language, lattice_lm, line_dedup, poisson_mix, preference_chat, simhash, site_style, weak_toxicity
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,11 @@ def op7_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.fingerprints_with_next(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_toxicity.op8_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_chat.op9_preference(table(spark, sf_dir, "conversations"))

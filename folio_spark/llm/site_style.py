@@ -67,13 +67,12 @@ REGION_NAMES = frozenset("article articlebody story post entry content main".spl
 
 
 class Node:
-    __slots__ = ("tag", "path", "kids", "away", "region", "texts", "chars", "parent")
+    __slots__ = ("tag", "path", "kids", "away", "region", "texts", "parent")
 
     def __init__(self, tag: str, path: int, away: bool, region: int, parent: Node | None):
         self.tag, self.path, self.away, self.region, self.parent = tag, path, away, region, parent
         self.kids: list[str] = []
         self.texts: list[int] = []  # numbers of the blocks below
-        self.chars = 0
 
 
 def _hash(*parts) -> int:
@@ -117,7 +116,6 @@ def parse(html: str, known: dict) -> tuple[list[Node], list[tuple[str, Node]]]:
                 blocks.append((text, node))
                 while node is not None:
                     node.texts.append(number)
-                    node.chars += len(text)
                     node = node.parent
 
     def pop_to(depth: int):
@@ -197,30 +195,26 @@ def parse(html: str, known: dict) -> tuple[list[Node], list[tuple[str, Node]]]:
 def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset(), known: dict | None = None) -> str:
     """Blocks of the page's article, one a line; ``low`` are paths of low importance on its host.
 
-    Where the page marks an article (or main part, or names one) only text inside it counts. A low
-    branch stays if it holds more than half of what is left, so that many copies of one article on
-    a host do not remove each other.
+    Where the page marks an article (or main part, or names one) only text inside it counts. Low
+    branches stay if they hold more than half of what is left, so that many copies of one article
+    on a host do not remove each other.
     """
     nodes, blocks = parse(html or "", {} if known is None else known)
     kept = [(text, node) for text, node in blocks if not node.away]
     level = max((node.region for _, node in kept), default=0)
     kept = [(text, node) for text, node in kept if node.region >= level]
     if low and kept:
-        total, size = sum(len(t) for t, _ in kept), Counter()
-        for text, node in kept:
-            while node is not None:
-                size[id(node)] += len(text)
-                node = node.parent
-        gone = {id(n) for n in nodes if n.path in low and 2 * size[id(n)] <= total}
 
-        def removed(node: Node | None) -> bool:
+        def template(node: Node | None) -> bool:
             while node is not None:
-                if id(node) in gone:
+                if node.path in low:
                     return True
                 node = node.parent
             return False
 
-        kept = [(text, node) for text, node in kept if not removed(node)] if gone else kept
+        left = [(text, node) for text, node in kept if not template(node)]
+        if 2 * sum(len(text) for text, _ in left) >= sum(len(text) for text, _ in kept):
+            kept = left
     return "\n".join(text for text, _ in kept)
 
 
