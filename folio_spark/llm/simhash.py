@@ -113,13 +113,14 @@ def links(marks: DataFrame, radius: int = 4, parts: int = 3, crowd: int = 64) ->
     crowded = cut(index.groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     open_index = index.join(crowded, "key", "left_anti")
-    found = probe.alias("p").join(open_index.alias("i"), (F.col("p.key") == F.col("i.key")) & (F.col("a") > F.col("b")) & near).select("a", "b")
+    # Exploded sides are far larger than their files; they must not be taken for broadcast tables.
+    found = probe.alias("p").join(open_index.alias("i").hint("merge"), (F.col("p.key") == F.col("i.key")) & (F.col("a") > F.col("b")) & near).select("a", "b")
     if crowded.isEmpty():
         return found
     members = cut(probe.join(crowded, "key", "left_semi").select(F.col("a").alias("mark")).distinct(), "crowd")
     centres = members.select(F.explode(_xor_each(F.col("mark"), ball(BITS, radius // 2))).alias("centre"), "mark")
     shared = centres.groupBy("centre").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).where("first < last")
-    met = centres.join(shared, "centre").where("mark != first").select(F.col("mark").alias("a"), F.col("first").alias("b"))
+    met = centres.join(shared.hint("merge"), "centre").where("mark != first").select(F.col("mark").alias("a"), F.col("first").alias("b"))
     return found.union(met.distinct())
 
 
