@@ -9,7 +9,7 @@ import json
 import os
 import time
 
-from folio_spark.session import build_session
+from folio_spark.session import build_session, use_local_folder
 from folio_spark.workloads import QUERIES
 
 HEADLINE = [
@@ -32,6 +32,7 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    use_local_folder(spark)
     spark.read.parquet(f"{sf_dir}/orders.parquet").count()  # start-up is not part of a query
     times = {}
     for name in HEADLINE:

@@ -27,23 +27,25 @@ def build_session(app: str = "folio_spark", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-_LOCAL_DIRS: dict[str, str] = {}  # application id -> temporary folder of a local session
+_LOCAL_DIRS: dict[str, str] = {}  # application id -> folder of a local session that asked for one
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
+def use_local_folder(spark: SparkSession) -> None:
+    """For tests and single-machine runs: a temporary folder where ``spark.checkpoint.dir`` is unset.
 
-    Only a local-mode session (tests) may fall back to a temporary folder.
+    A session with a cluster master is left alone, so ``shared_dir`` asks for the setting there.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if spark.conf.get("spark.checkpoint.dir", None) is None and context.master.startswith("local") and "cluster" not in context.master:
+        _LOCAL_DIRS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="folio-"))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder every executor can reach, named by ``spark.checkpoint.dir``."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(spark.sparkContext.applicationId)
+    if not path:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if context.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="folio-")
-    return _LOCAL_DIRS[context.applicationId]
+    return path
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import time
 import pandas as pd
 from pyspark.sql import SparkSession
 
+from ..session import use_local_folder
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -66,6 +68,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    use_local_folder(spark)
     con = oracle_connection(sf_dir)
     failed = 0
     for name in names or list(QUERIES):

@@ -10,6 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
+    from folio_spark.session import use_local_folder
+
     session = (
         SparkSession.builder.master("local[8]")
         .appName("folio_spark-tests")
@@ -20,6 +22,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    use_local_folder(session)
     yield session
     session.stop()
 
