@@ -282,6 +282,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDITS,
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the documents that leak a benchmark item; columns as they were."""
+    kept = docs.withColumnRenamed("leaked_items", "_leaked_items_before")
+    kept = find_leaks(kept, benchmark).where(F.size("leaked_items") == 0).drop("leaked_items")
+    return kept.withColumnRenamed("_leaked_items_before", "leaked_items")
+
+
 def op6_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, leaked_items for every document."""
     out = find_leaks(docs.select("doc_id", "text"), benchmark)

@@ -367,26 +367,32 @@ def fit(docs: DataFrame, fold: int = 0, of: int = 5, docs_per_language: int = DO
     return m
 
 
-def _predict_rows(shared, place: int):
+def _predict_rows(shared, place: int, names: list[str]):
     def run(batches):
         kind, m = letters(), Model(**shared.value)
         for batch in batches:
-            names, scores = predict(batch.column(place).to_pylist(), m, kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            langs, scores = predict(batch.column(place).to_pylist(), m, kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` of each whole text; map-only.
+def identify(docs: DataFrame, model: Model, name: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the language (column ``name``) and ``score`` of each whole text; map-only.
 
     A null text, and one without a letter, is ``und`` with score 0. Ties go to the first language
-    in order of name. Columns of these two names are replaced.
+    in order of name. Columns of these two names are replaced; all others stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by the table's size, languages and lexicon
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop(name, score)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_predict_rows(shared, rows.columns.index("text")), f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(_predict_rows(shared, rows.columns.index("text"), [name, score]), f"{fields}, `{name}` string, `{score}` double")
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
+    """``docs`` without texts that have no letter or no language of score ``least`` or more; columns as they were."""
+    marked = identify(docs, model, "_lang_pred", "_lang_score")
+    return marked.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).drop("_lang_pred", "_lang_score")
 
 
 def op4_language(docs: DataFrame) -> DataFrame:

@@ -227,6 +227,18 @@ def dedup_lines(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRE
     return joined.mapInArrow(_without_lines, f"{fields}, _lines int, _kept int").drop("_gone")
 
 
+def keep_with_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` after line dedup, without documents that lost all their text; columns as they were.
+
+    A document stays if a line with more than white space is left or none was dropped; ``n_chars``,
+    if there, follows the text.
+    """
+    out = dedup_lines(docs).where((F.col("_kept") == F.col("_lines")) | F.col("text").rlike(r"\S"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_kept") == F.col("_lines"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text without repeated lines, n_chars of it, n_lines before, n_kept."""
     out = dedup_lines(docs.select("doc_id", "text"))
