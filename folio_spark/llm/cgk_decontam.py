@@ -181,16 +181,16 @@ def leaks(texts: list[str | None], held: dict) -> list[set[int]]:
     if not sizes:
         return [set() for _ in texts]
     gap = [OTHER] * (allowed(sizes[-1], held["share"]) + 1)  # no window that reaches past a gap can match
-    ids, start_of = [], []
-    for text in [*texts, None]:
-        if len(ids) > BLOCK_WORDS or (text is None and len(found) + len(start_of) == len(texts)):
-            found += _block_leaks(np.array(ids, np.int64), start_of, held, sizes)
-            ids, start_of = [], []
-            if len(found) == len(texts):
-                break
+    ids, start_of, own = [], [], []
+    for i, text in enumerate(texts):
         start_of.append(len(ids))
-        ids += [vocabulary.get(w, OTHER) for w in words_of(text)]
+        words = [vocabulary.get(w, OTHER) for w in words_of(text)]
+        ids += words
         ids += gap
+        own += [True] * len(words) + [False] * len(gap)
+        if len(ids) > BLOCK_WORDS or i == len(texts) - 1:
+            found += _block_leaks(np.array(ids, np.int64), np.array(own), start_of, held, sizes)
+            ids, start_of, own = [], [], []
     return found
 
 
@@ -207,7 +207,7 @@ def _dense_windows(hits: np.ndarray, n: int, need: int, count: int) -> np.ndarra
     return np.unique(np.repeat(low, size) + inside)
 
 
-def _block_leaks(ids: np.ndarray, start_of: list[int], held: dict, sizes: list[int]) -> list[set[int]]:
+def _block_leaks(ids: np.ndarray, own: np.ndarray, start_of: list[int], held: dict, sizes: list[int]) -> list[set[int]]:
     found: list[set[int]] = [set() for _ in start_of]
     masks = held["pairs"][_pair_slots(ids)]
     masks[(ids[:-1] == OTHER) | (ids[1:] == OTHER)] = 0
@@ -217,7 +217,8 @@ def _block_leaks(ids: np.ndarray, start_of: list[int], held: dict, sizes: list[i
     starts, window_sizes = [], []
     for i, n in enumerate(sizes):
         hits = places_[(masks >> np.uint64(i % 64)) & np.uint64(1) == 1]
-        starts.append(_dense_windows(hits, n, n - 1 - 2 * allowed(n, held["share"]), len(ids) - n + 1))
+        dense = _dense_windows(hits, n, n - 1 - 2 * allowed(n, held["share"]), len(ids) - n + 1)
+        starts.append(dense[own[dense]])  # a window starts with a word of its text
         window_sizes.append(np.full(len(starts[-1]), n))
     starts, window_sizes = np.concatenate(starts), np.concatenate(window_sizes)
     pairs = set()
