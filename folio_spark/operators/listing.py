@@ -274,16 +274,10 @@ def number_items(items: DataFrame, within: tuple[str, ...] = (), order: tuple[st
     return number_rows(items, order, "seq", within)
 
 
-# Up to this many items a top-n is merged in one task; beyond it the items are numbered.
-TOP_N_IN_ONE_TASK = 10_000
-
-
 def cap_items(items: DataFrame, max_items: int, order: tuple[str, ...] = ("page_no", "pos")) -> DataFrame:
     """The first N items of one job in crawl order, 0 meaning all."""
     if max_items <= 0:
         return items
-    if max_items <= TOP_N_IN_ONE_TASK:
-        return items.orderBy(*order).limit(max_items)
     return number_rows(items, order, "_n").where(F.col("_n") <= max_items).drop("_n")
 
 

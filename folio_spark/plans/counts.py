@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import listing as L
 
 
-def org_counts_report(pages: DataFrame, portal_base: str, max_pages: int = 1000) -> DataFrame:
+def org_counts_report(pages: DataFrame, portal_base: str, max_pages: int = 0) -> DataFrame:
     """All organisations at once: cards, first sightings, page walk, four columns.
 
-    Pages are parsed once. A page answered
+    Pages are parsed once; ``max_pages`` caps an organisation's walk (0: no cap). A page answered
     with an HTTP error was never read, so it ends its organisation's walk like a missing one.
     """
     answered = pages.where(F.coalesce("status", F.lit(200)) < 400)

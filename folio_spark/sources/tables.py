@@ -25,8 +25,23 @@ def detail_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return read_table(spark, path, S.DETAIL_PAGES, fmt)
 
 
+def stored_table(spark: SparkSession, path: str, schema: T.StructType, fields: list[tuple[str, str]], fmt: str = "parquet") -> DataFrame:
+    """A saved table, its columns found by name under the published or the internal header.
+
+    Column order and further columns do not matter; a column the file lacks is null.
+    """
+    reader = spark.read.format(fmt)
+    if fmt == "csv":
+        reader = reader.options(header=True, multiLine=True, escape='"')
+    found = reader.load(path)
+    names = {header: name for name, header in fields}
+    return align(found.withColumnsRenamed({c: names[c] for c in found.columns if c in names}), schema)
+
+
 def fail_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return read_table(spark, path, S.FAIL_LOG, fmt)
+    """A saved fail log (A3). A log stored without line numbers is numbered in file order."""
+    rows = stored_table(spark, path, S.FAIL_LOG, V.FAIL_FIELDS, fmt)
+    return rows.withColumn("line_no", F.coalesce("line_no", F.monotonically_increasing_id()))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -38,7 +53,7 @@ def previous_metadata(spark: SparkSession, path: str, fmt: str = "parquet") -> D
     """The last run's metadata, or an empty table when there was none (A4)."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], S.METADATA)
-    return read_table(spark, path, S.METADATA, fmt)
+    return stored_table(spark, path, S.METADATA, V.METADATA_FIELDS, fmt)
 
 
 def align(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -66,7 +81,7 @@ def with_headers(df: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
 
 def _write(df: DataFrame, path: str, fmt: str) -> None:
     writer = df.write.mode("overwrite").format(fmt)
-    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+    (writer.options(header=True, escape='"') if fmt == "csv" else writer).save(path)
 
 
 def sort_by_seq(df: DataFrame, *arrival: str) -> DataFrame:
@@ -80,7 +95,8 @@ def save_metadata(df: DataFrame, path: str, fmt: str = "parquet", headers: bool
 
 
 def save_fails(df: DataFrame, path: str, fmt: str = "parquet", headers: bool = True) -> None:
-    rows = align(df, S.FAILS)
+    """Save a fail log; its line numbers, which order the next retry, are stored with it."""
+    rows = align(df, S.FAIL_LOG if "line_no" in df.columns else S.FAILS)
     _write(with_headers(rows, V.FAIL_FIELDS) if headers else rows, path, fmt)
 
 
@@ -90,13 +106,13 @@ def save_counts(df: DataFrame, path: str, fmt: str = "parquet", headers: bool =
 
 
 def chunks(df: DataFrame, order: list[str], base_name: str, cap: int = V.CHUNK_ROWS) -> DataFrame:
-    """Number output chunks of at most ``cap`` rows and name them."""
+    """Number output chunks of at most ``cap`` rows and name them; a table that fits keeps its plain name."""
     size = max(1, min(cap, V.CHUNK_ROWS_MAX))
     numbered = number_rows(df, order, "_rn")
     chunk = F.floor((F.col("_rn") - 1) / size).cast("long")
-    return numbered.select(
-        *df.columns, chunk.alias("chunk_no"), sheet_name(F.lit(base_name), (chunk + 1).cast("int")).alias("chunk_name")
-    )
+    name = F.when(F.col("_split"), sheet_name(F.lit(base_name), (chunk + 1).cast("int"))).otherwise(sheet_name(F.lit(base_name)))
+    split = numbered.agg((F.count("*") > size).alias("_split"))  # one row
+    return numbered.join(F.broadcast(split)).select(*df.columns, chunk.alias("chunk_no"), name.alias("chunk_name"))
 
 
 def save_chunks(df: DataFrame, order: list[str], path: str, base_name: str, cap: int = V.CHUNK_ROWS) -> None:

@@ -12,7 +12,7 @@ from .. import vocab as V
 from ..operators import downloads as W
 from ..operators import merge as G
 from ..operators import telemetry as T
-from ..plans.metadata import full_run, org_report, retry_run
+from ..plans.metadata import collect_details, full_run, org_report, retry_run
 from ..session import shared_dir
 from ..sources import tables as B
 from ..streaming import ingest
@@ -319,12 +319,19 @@ def a8_metadata_sink(spark, sf_dir):
 
 
 @query("a3_a9_fail_log_csv", FAIL_LOG_SQL + """
-SELECT collected_at, stage, dataset_name, coalesce(url, '') AS url, seq, error FROM fail_log""")
+SELECT line_no, collected_at, stage, dataset_name, coalesce(url, '') AS url, seq, views, downloads, error FROM fail_log""")
 def a3_a9_fail_log_csv(spark, sf_dir):
     path = scratch(spark, "fails")
-    B.save_fails(event_fail_log(spark, sf_dir), path, fmt="csv", headers=False)
-    back = B.read_table(spark, path, S.FAILS, "csv").na.fill("")
-    return back.select("collected_at", "stage", "dataset_name", F.trim("url").alias("url"), "seq", "error")
+    B.save_fails(event_fail_log(spark, sf_dir), path, fmt="csv")
+    back = B.fail_log(spark, path, "csv").na.fill("")
+    return back.select("line_no", "collected_at", "stage", "dataset_name", F.trim("url").alias("url"), "seq", "views", "downloads", "error")
+
+
+@query("a3_a9_fail_log_parquet", FAIL_LOG_SQL + "SELECT * FROM fail_log")
+def a3_a9_fail_log_parquet(spark, sf_dir):
+    path = scratch(spark, "fails")
+    B.save_fails(event_fail_log(spark, sf_dir), path)
+    return B.fail_log(spark, path).withColumn("url", F.trim("url")).drop("traceback")
 
 
 @query("a1_listing_source", """
@@ -338,21 +345,22 @@ def a1_listing_source(spark, sf_dir):
 
 
 @query("a2_detail_source", """
-SELECT 'https://portal.example/data/' || o_orderkey || '/fileData.do' AS url, CAST(200 AS BIGINT) AS status FROM orders""")
+SELECT url, CAST(200 AS BIGINT) AS status, length(html) AS chars, md5(html) AS digest FROM pages""")
 def a2_detail_source(spark, sf_dir):
     path = scratch(spark, "detail")
-    M.order_pages(spark, sf_dir).select("url", "status", "html").write.parquet(path)
-    return B.detail_pages(spark, path).select("url", F.col("status").cast("long").alias("status"))
+    table(spark, sf_dir, "pages").select("url", F.lit(200).alias("status"), "html").write.parquet(path)
+    pages = B.detail_pages(spark, path)
+    return pages.select("url", F.col("status").cast("long").alias("status"), F.length("html").cast("long").alias("chars"), F.md5("html").alias("digest"))
 
 
 @query("a4_previous_metadata", """
-SELECT 'stored' AS kind, count(*) AS n, count(DISTINCT o_custkey) FILTER (o_orderpriority <> '5-LOW') AS seqs FROM orders
-UNION ALL SELECT 'missing', 0, 0""")
+SELECT 'stored' AS kind, count(*) AS n, count(DISTINCT o_custkey) FILTER (o_orderpriority <> '5-LOW') AS seqs, count(*) AS names FROM orders
+UNION ALL SELECT 'missing', 0, 0, 0""")
 def a4_previous_metadata(spark, sf_dir):
     path = scratch(spark, "previous")
-    B.save_metadata(order_metadata(spark, sf_dir), path, headers=False, arrival=("line_no",))
+    B.save_metadata(order_metadata(spark, sf_dir), path, arrival=("line_no",))
     runs = {"stored": B.previous_metadata(spark, path), "missing": B.previous_metadata(spark, path + "-none")}
-    counted = [r.agg(F.lit(k).alias("kind"), F.count("*").alias("n"), F.countDistinct("seq").alias("seqs")) for k, r in runs.items()]
+    counted = [r.agg(F.lit(k).alias("kind"), F.count("*").alias("n"), F.countDistinct("seq").alias("seqs"), F.count("dataset_name").alias("names")) for k, r in runs.items()]
     return counted[0].unionByName(counted[1])
 
 
@@ -407,14 +415,8 @@ def org_report_query(spark, sf_dir):
     return report
 
 
-@query("retry_run", """
-SELECT 'metadata' AS kind, 'https://portal.example/data/' || o_orderkey || '/fileData.do' AS url,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN 'again ' || o_orderkey ELSE 'old ' || o_orderkey END AS name,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN '실패로그_재수집' ELSE '' END AS source FROM orders
-UNION ALL SELECT 'fail', 'https://portal.example/data/' || (o_orderkey + 1000000000) || '/fileData.do', 'again ' || o_orderkey, 'retry_failed_playwright'
-  FROM orders WHERE o_orderpriority = '2-HIGH'
-UNION ALL SELECT 'fail', 'n/a ' || o_orderkey, 'again ' || o_orderkey, 'first' FROM orders WHERE o_orderpriority = '3-MEDIUM'""")
-def retry_run_query(spark, sf_dir):
+def retry_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fail log, previous metadata and detail pages of a retry; some previous addresses occur twice."""
     orders = table(spark, sf_dir, "orders")
     key, level = F.col("o_orderkey"), F.col("o_orderpriority")
     log = orders.where(level.isin("1-URGENT", "2-HIGH", "3-MEDIUM")).select(
@@ -424,11 +426,70 @@ def retry_run_query(spark, sf_dir):
     )
     # Titles of the error screens and of real pages alike give way to the logged name here.
     pages = M.order_pages(spark, sf_dir).drop("o_orderkey").withColumn("html", F.regexp_replace("html", "(?s)<h1>.*?</h1>", ""))
-    previous = orders.select(key.alias("seq"), M.cat("old ", key.cast("string")).alias("dataset_name"), M.order_url(key).alias("detail_url"), F.lit("").alias("source_label"))
-    run = retry_run(log, B.align(previous, S.METADATA), pages, PORTAL, "2024-01-02 00:00:00")
-    return run.metadata.select(F.lit("metadata").alias("kind"), F.col("detail_url").alias("url"), F.col("dataset_name").alias("name"), F.col("source_label").alias("source")).unionByName(
-        run.fails.select(F.lit("fail").alias("kind"), "url", F.col("dataset_name").alias("name"), F.col("stage").alias("source"))
+    def stored_rows(rows: DataFrame, name: str, offset: int) -> DataFrame:
+        return rows.select((key + offset).alias("seq"), M.cat(name, key.cast("string")).alias("dataset_name"), M.order_url(key).alias("detail_url"), F.lit("").alias("source_label"))
+
+    previous, twice = stored_rows(orders, "old ", 0), stored_rows(orders.where(level == "5-LOW"), "older ", 1_000_000_000)
+    return log, B.align(previous.unionByName(twice), S.METADATA), pages
+
+
+def retried(metadata: DataFrame, fails: DataFrame) -> DataFrame:
+    return metadata.select(F.lit("metadata").alias("kind"), F.col("detail_url").alias("url"), F.col("dataset_name").alias("name"), F.col("source_label").alias("source")).unionByName(
+        fails.select(F.lit("fail").alias("kind"), "url", F.col("dataset_name").alias("name"), F.col("stage").alias("source"))
+    )
+
+
+RETRY_SQL = """
+SELECT 'metadata' AS kind, 'https://portal.example/data/' || o_orderkey || '/fileData.do' AS url,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'again ' WHEN '5-LOW' THEN 'older ' ELSE 'old ' END || o_orderkey AS name,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN '실패로그_재수집' ELSE '' END AS source FROM orders
+UNION ALL SELECT 'fail', 'https://portal.example/data/' || (o_orderkey + 1000000000) || '/fileData.do', 'again ' || o_orderkey, 'retry_failed_playwright'
+  FROM orders WHERE o_orderpriority = '2-HIGH'
+UNION ALL SELECT 'fail', 'n/a ' || o_orderkey, 'again ' || o_orderkey, 'first' FROM orders WHERE o_orderpriority = '3-MEDIUM'"""
+
+
+@query("retry_run", RETRY_SQL)
+def retry_run_query(spark, sf_dir):
+    log, previous, pages = retry_inputs(spark, sf_dir)
+    run = retry_run(log, previous, pages, PORTAL, "2024-01-02 00:00:00")
+    return retried(run.metadata, run.fails)
+
+
+@query("e6_stored_retry", RETRY_SQL)
+def e6_stored_retry(spark, sf_dir):
+    """The retry from stored tables, its own tables stored and read again."""
+    log, previous, pages = retry_inputs(spark, sf_dir)
+    at = {name: scratch(spark, name) for name in ("fails", "metadata", "fails-after", "metadata-after")}
+    B.save_fails(log, at["fails"], fmt="csv")
+    B.save_metadata(previous, at["metadata"])
+    run = retry_run(B.fail_log(spark, at["fails"], "csv"), B.previous_metadata(spark, at["metadata"]), pages, PORTAL, "2024-01-02 00:00:00")
+    B.save_metadata(run.metadata, at["metadata-after"])
+    B.save_fails(run.fails, at["fails-after"])
+    return retried(B.previous_metadata(spark, at["metadata-after"]), B.fail_log(spark, at["fails-after"]))
+
+
+@query("full_run_fails", """
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 9 AS c FROM orders)
+SELECT k + 1 AS seq, CASE c WHEN 0 THEN 'deferred_saved_only' WHEN 1 THEN 'fetch_detail_httpx' WHEN 2 THEN 'deferred_saved_only' WHEN 3 THEN 'playwright_fallback_failed'
+  WHEN 4 THEN 'fetch_detail_httpx' WHEN 5 THEN 'empty_url' ELSE 'metadata' END AS stage,
+  CASE WHEN c = 5 THEN '' ELSE 'https://portal.example/data/' || k || '/fileData.do' END AS url FROM o""")
+def full_run_fails(spark, sf_dir):
+    """Items answered 429, 503, with a block text, too short, never, and without an address: each
+    item comes out once, as metadata or under the stage that decided it."""
+    key = F.col("o_orderkey")
+    case = key % 9
+    listed = table(spark, sf_dir, "orders").select(
+        (key + 1).alias("seq"), F.lit("t").alias("raw_title"), F.lit("t").alias("title"), *[F.lit("").alias(c) for c in ("title_source", "formats", "views", "downloads")],
+        F.when(case == 5, "").otherwise(M.order_url(key)).alias("detail_url"), F.lit("").alias("source_list_url"), *[F.lit(None).cast("string").alias(c) for c in V.CARD_TARGETS],
+    )
+    long = F.lit("<p>" + "내용 " * 300 + "</p>")
+    pages = table(spark, sf_dir, "orders").where(case != 4).select(
+        M.order_url(key).alias("url"), F.when(case == 0, 429).when(case == 1, 503).otherwise(200).alias("status"),
+        M.cat("<html><body><h1>t</h1>", F.when(case == 2, M.cat("<p>Too Many Requests</p>", long)).when(case == 3, "").otherwise(long), "</body></html>").alias("html"),
     )
+    run = collect_details(listed, pages, PORTAL, "2024-01-01 00:00:00")
+    done = run.metadata.select("seq", F.lit("metadata").alias("stage"), F.col("detail_url").alias("url"))
+    return done.unionByName(run.fails.select(F.col("seq").cast("long").alias("seq"), "stage", "url"))
 
 
 # --- streams ---------------------------------------------------------------------------------------------------------
