@@ -37,10 +37,21 @@ def as_long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
-@query("counts_by_org", REACHED + """
+BRAND_PAGES = """
+WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, count(*) OVER (PARTITION BY p_brand) AS total FROM part),
+shown AS (SELECT p_brand AS org, (n - 1) // 10 + 1 AS page_no, * FROM ranked UNION ALL SELECT p_brand, (n - 1) // 10 + 2, * FROM ranked WHERE p_size > 40),
+listed AS (SELECT * FROM shown WHERE p_brand NOT LIKE '%3' OR page_no <> total // 20 + 2),
+firsts AS (SELECT org, p_partkey, min(page_no) AS page_no FROM listed GROUP BY ALL),
+fresh AS (SELECT org, page_no, row_number() OVER (PARTITION BY org ORDER BY page_no) AS rn FROM (SELECT DISTINCT org, page_no FROM firsts)),
+reached AS (SELECT l.*, replace(p_name, 'new ', '') || '_' || p_partkey AS title, 'https://portal.example/data/' || p_partkey || '/fileData.do' AS detail_url
+  FROM listed l JOIN firsts f USING (org, p_partkey, page_no) JOIN fresh s USING (org, page_no) WHERE s.rn = page_no)
+"""
+
+
+@query("counts_by_org", BRAND_PAGES + """
 SELECT org, title, p_partkey * 7 AS views, CAST(p_size AS BIGINT) AS downloads, detail_url FROM reached""")
 def counts_by_org(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return org_counts_report(M.part_listing(spark, sf_dir), PORTAL)
+    return org_counts_report(M.part_listing(spark, sf_dir, M.brand_pages(spark, sf_dir)), PORTAL)
 
 
 @query("b3_counts_cards", LISTED + """

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import number_rows
 from .registry import PORTAL, stored, table
 
 CARDS_PER_PAGE_KEYS = 100
@@ -46,8 +47,22 @@ def listing_page(cards: Column, total: Column) -> Column:
     )
 
 
-def part_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listed_parts(spark, sf_dir).select(
+def brand_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts ten to a page in each brand; large parts show up again on the next page.
+
+    Brands that end in 3 lack the page after their middle, where the walk stops.
+    """
+    part = number_rows(table(spark, sf_dir, "part"), ["p_partkey"], "_n", within=["p_brand"])
+    total = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("_brand")).agg(F.count("*").alias("_total"))
+    page = F.floor((F.col("_n") - 1) / 10).cast("int")
+    shown = F.when(F.col("p_size") > 40, F.array(page + 1, page + 2)).otherwise(F.array(page + 1))
+    held = part.join(total, F.col("p_brand") == F.col("_brand")).withColumn("page_no", F.explode(shown))
+    held = held.where(~F.col("p_brand").endswith("3") | (F.col("page_no") != F.floor(F.col("_total") / 20) + 2))
+    return held.select(F.col("p_brand").alias("org"), "page_no", "p_partkey", "p_name", "p_type", "p_size")
+
+
+def part_listing(spark: SparkSession, sf_dir: str, parts: DataFrame | None = None) -> DataFrame:
+    rows = (listed_parts(spark, sf_dir) if parts is None else parts).select(
         "org", "page_no",
         F.struct("p_partkey", card(F.col("p_partkey"), F.col("p_name"), F.col("org"), F.col("p_type"), F.col("p_size")).alias("li")).alias("c"),
     )

@@ -119,14 +119,14 @@ def c30_sort(spark, sf_dir):
 
 
 @query("c21_failrecon", """
-WITH old AS (SELECT event_id AS line_no, event_type AS stage, CASE WHEN value >= 3 THEN 'u' || user_id || '-' || event_type END AS url FROM events WHERE event_type <> 'purchase'),
+WITH old AS (SELECT event_id AS line_no, event_type AS stage, CASE WHEN value >= 3 THEN 'u' || user_id || '-' || event_type END AS url FROM events),
 ok AS (SELECT 'u' || c_custkey || '-view' AS url FROM customer), again AS (SELECT c_custkey AS line_no, 'again' AS stage, 'u' || c_custkey || '-click' AS url FROM customer),
 b AS (SELECT 0 AS src, * FROM old WHERE url IS NULL OR url NOT IN (SELECT url FROM ok UNION ALL SELECT url FROM again) UNION ALL SELECT 1, * FROM again)
 SELECT line_no, stage, url FROM b QUALIFY row_number() OVER (PARTITION BY url ORDER BY src DESC, line_no DESC) = 1""")
 def c21_failrecon(spark, sf_dir):
     events, customer = table(spark, sf_dir, "events"), table(spark, sf_dir, "customer")
     user, key = F.col("user_id").cast("string"), F.col("c_custkey").cast("string")
-    old = events.where("event_type <> 'purchase'").select(
+    old = events.select(
         F.col("event_id").alias("line_no"), F.col("event_type").alias("stage"),
         F.when(F.col("value") >= 3, M.cat("u", user, "-", F.col("event_type"))).alias("url"),
     )
@@ -184,7 +184,7 @@ def c27_summary(spark, sf_dir):
 
 
 @query("c28_counters", """
-WITH e AS (SELECT event_type IN ('view', 'click') AS ok, event_type = 'error' AS bad, event_type = 'signup' AS held, * FROM events WHERE event_type <> 'purchase'),
+WITH e AS (SELECT event_type IN ('view', 'click') AS ok, event_type = 'error' AS bad, event_type IN ('signup', 'purchase') AS held, * FROM events),
 c AS (SELECT user_id AS job_id, ts, event_id, sum(CAST(ok AS BIGINT)) OVER w AS n_ok, sum(CAST(bad AS BIGINT)) OVER w AS n_bad, sum(CAST(held AS BIGINT)) OVER w AS n_held
   FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT job_id, ts, event_id, CAST(n_ok AS BIGINT) AS n_ok, CAST(n_bad + n_held AS BIGINT) AS n_fail_shown, CAST(n_held AS BIGINT) AS n_deferred,
@@ -192,7 +192,7 @@ SELECT job_id, ts, event_id, CAST(n_ok AS BIGINT) AS n_ok, CAST(n_bad + n_held A
 def c28_counters(spark, sf_dir):
     kind = F.col("event_type")
     outcome = F.when(kind.isin("view", "click"), "ok").when(kind == "error", "fail").otherwise("deferred")
-    events = table(spark, sf_dir, "events").where("event_type <> 'purchase'").select(
+    events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("job_id"), "ts", "event_id", outcome.alias("outcome"), F.lit(500).alias("total")
     )
     return T.outcome_counters(events, ["ts", "event_id"])
