@@ -28,22 +28,24 @@ def ingest_details(pages: DataFrame, items: DataFrame, portal_base: str, out: st
     """Turn arriving pages into metadata rows, batch by batch.
 
     Each batch owns one ``batch_id=`` folder and overwrites only that, so a replayed batch
-    leaves no second copy. :func:`current_metadata` reads the latest row per address; nothing
+    leaves no second copy. Rows carry the rank of the address that answered, so that
+    :func:`current_metadata` can prefer an item's own address whenever its page arrives; nothing
     already written is rewritten as the table grows.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = durable(D.parse_pages(batch))
         chosen = A.choose_response(items, parsed, portal_base, how="inner")
-        rows = D.metadata_rows(A.split_chosen(chosen)[0], source_label).drop("columns")
+        rows = D.metadata_rows(A.split_chosen(chosen)[0], source_label, keep=("answered_rank",)).drop("columns")
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_metadata(spark: SparkSession, out: str) -> DataFrame:
-    """Latest row per address over all batches."""
-    rows = spark.read.schema(StructType(S.METADATA.fields).add("batch_id", "long")).parquet(out)
-    return align(keep_last(rows, ["detail_url"], ["batch_id", "seq"]), S.METADATA)
+    """One row per address over all batches: the lowest candidate rank, of it the latest page."""
+    rows = spark.read.schema(StructType(list(S.METADATA.fields)).add("answered_rank", "integer").add("batch_id", "long")).parquet(out)
+    ranked = rows.withColumn("_nearer", -F.col("answered_rank"))
+    return align(keep_last(ranked, ["detail_url"], ["_nearer", "batch_id", "seq"]), S.METADATA)
 
 
 def seen_urls(urls: DataFrame, out: str, checkpoint: str):
