@@ -43,8 +43,11 @@ def table_rows(markup: Column) -> Column:
     return F.transform(H.elements(markup, "table"), lambda t: F.transform(H.elements(t, "tr"), lambda r: row_cells(r)))
 
 
-def column_header(rows: Column) -> Column:
-    """struct(row, name, descr, dtype, length) of 1-based positions, null for other tables."""
+def column_header(rows: Column, searched: int | None = V.HEADER_SEARCH_ROWS) -> Column:
+    """struct(row, name, descr, dtype, length) of 1-based positions, null for other tables.
+
+    The header is looked for in the first ``searched`` rows, the portal's rule (None: in all).
+    """
     def at(keys: Column, allowed: list[str]) -> Column:
         return F.array_position(F.transform(keys, lambda k: k.isin(allowed)), F.lit(True)).cast("int")
 
@@ -61,7 +64,7 @@ def column_header(rows: Column) -> Column:
             ),
         )
 
-    heads = F.transform(F.slice(rows, 1, V.HEADER_SEARCH_ROWS), look)
+    heads = F.transform(rows if searched is None else F.slice(rows, 1, searched), look)
     return F.get(
         F.filter(
             heads,
@@ -182,9 +185,12 @@ def dl_pairs(markup: Column) -> Column:
 
 
 # --- text block --------------------------------------------------------------------------------
-def text_block(text: Column) -> Column:
-    """The stretch of page text that best looks like the metadata section."""
-    windows = "|".join(f"{m}.{{0,{V.BLOCK_WINDOW - len(m)}}}" for m in V.BLOCK_MARKERS)
+def text_block(text: Column, window: int | None = V.BLOCK_WINDOW) -> Column:
+    """The stretch of page text that best looks like the metadata section.
+
+    A stretch has ``window`` characters from its marker on, the portal's rule (None: to the end).
+    """
+    windows = "|".join(f"{m}.*" if window is None else f"{m}.{{0,{window - len(m)}}}" for m in V.BLOCK_MARKERS)
     found = F.regexp_extract_all(text, F.lit(rf"(?s)(?=({windows}))"), F.lit(1))
 
     def scored(raw: Column, i: Column) -> Column:
@@ -242,8 +248,8 @@ def detail_download_count(text: Column) -> Column:
     return F.replace(X.first_filled(*hits), F.lit(","))
 
 
-def invalid_reason(text: Column, block: Column) -> Column:
-    """Blank for a usable page, else why it is not one."""
+def invalid_reason(text: Column, block: Column, chars: int | None = V.INVALID_HEAD) -> Column:
+    """Blank for a usable page, else why it is not one (B17), judged by the first ``chars`` (None: by all)."""
     def judged(head: Column) -> Column:
         searched = head.contains(V.LIST_PAGE_SEARCH)
         found = head.contains(V.LIST_PAGE_FOUND)
@@ -253,7 +259,9 @@ def invalid_reason(text: Column, block: Column) -> Column:
         said = F.get(F.filter(X.word_array(V.UNAVAILABLE_PHRASES), lambda p: F.contains(head, p)), F.lit(0))
         return F.when(listing, "DATASET_LIST_PAGE").otherwise(F.coalesce(F.concat(F.lit("UNAVAILABLE_PAGE:"), said), F.lit("")))
 
-    return F.when(text == "", "EMPTY_BODY").when(block != "", "").otherwise(X.let(F.substring(text, 1, V.INVALID_HEAD), judged))
+    return F.when(text == "", "EMPTY_BODY").when(block != "", "").otherwise(
+        X.let(text if chars is None else F.substring(text, 1, chars), judged)
+    )
 
 
 # --- department phone --------------------------------------------------------------------------------

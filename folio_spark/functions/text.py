@@ -182,11 +182,12 @@ def detect_formats(c: Column) -> Column:
 
 
 # --- D15-D20 numbers ---------------------------------------------------------------
-def labelled_value(c: Column, label: str) -> Column:
+def labelled_value(c: Column, label: str, longest: int | None = V.CARD_VALUE_CHARS) -> Column:
+    """Text behind a card label, up to the next one; blank if over ``longest`` characters (None: any length)."""
     others = "|".join(literal(x) for x in V.CARD_VALUE_LABELS if x != label)
     pattern = rf"{literal(label)}\s*[:：]?\s*(.*?)(?=(?:{others})\s*[:：]?|$)"
     value = clean_text(F.regexp_extract(clean_text(c), rx(pattern), 1))
-    return let(value, lambda v: F.when(F.length(v) > 200, "").otherwise(v))
+    return value if longest is None else let(value, lambda v: F.when(F.length(v) > longest, "").otherwise(v))
 
 
 def _bare(c: Column) -> Column:
@@ -266,15 +267,15 @@ def normalize_date(c: Column) -> Column:
 
 
 # --- D22 blocked responses -----------------------------------------------------------
-def block_signal(c: Column) -> Column:
-    """struct(blocked, signal): first error-page phrase or pattern near the top of clean text."""
+def block_signal(c: Column, chars: int | None = V.BLOCK_HEAD) -> Column:
+    """struct(blocked, signal): first error-page phrase or pattern in the first ``chars`` of clean text (None: all of it)."""
 
     def first_signal(head: Column) -> Column:
         phrase = F.get(F.filter(word_array(V.BLOCK_PHRASES), lambda p: F.contains(head, p)), F.lit(0))
         pattern = F.coalesce(*[F.when(head.rlike(rx(p, True)), F.lit(p)) for p in V.BLOCK_PATTERNS])
         return F.coalesce(phrase, F.when(any_of(V.BLOCK_PATTERN_HINTS, head), pattern), F.lit(""))
 
-    head = F.substring(c, 1, V.BLOCK_HEAD)
+    head = c if chars is None else F.substring(c, 1, chars)
     return let(let(head, first_signal), lambda s: F.struct((s != "").alias("blocked"), s.alias("signal")))
 
 

@@ -193,6 +193,7 @@ BLOCK_STOP_PHRASES = [
     "다른 사용자들이 활용한 데이터",
 ]
 MAX_LABEL_LENGTH = 80
+CARD_VALUE_CHARS = 200
 
 # --- detail pages: column tables ----------------------------------------------
 HEADER_NAME_KEYS = ["항목명", "컬럼명", "필드명"]

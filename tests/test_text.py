@@ -144,3 +144,14 @@ def test_dataset_title_prefers_trusted_anchor(spark):
     df = spark.createDataFrame(rows, "t string, r string, s string, f string, want string")
     got = df.select(X.dataset_title(F.col("t"), F.col("r"), F.col("s"), F.col("f")).alias("g"), "want").collect()
     assert [r.g for r in got] == [r.want for r in got]
+
+
+def test_windows_of_the_rules_can_be_lifted(spark):
+    from folio_spark.functions import detail_html as D
+
+    late = "가 " * 5000
+    row = spark.createDataFrame([(late + "Too Many Requests", late + "조회수 5")], "t string, v string").select(
+        X.block_signal(F.col("t"))["blocked"].alias("near"), X.block_signal(F.col("t"), None)["blocked"].alias("far"),
+        D.invalid_reason(F.col("t"), F.lit("")).alias("r"),
+    ).first()
+    assert (row.near, row.far, row.r) == (False, True, "")
