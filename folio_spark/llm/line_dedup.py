@@ -2,11 +2,21 @@
 
 A line is what stands between line feeds. Lines are compared in lower case with white space
 collapsed; equal ones are one text, named by the 64-bit XXH3 of its UTF-8. Texts whose signatures
-agree in one band are compared exactly: the Jaccard index of their sets of character shingles.
+agree in one band share a bucket and are compared exactly: the Jaccard index of their sets of
+character shingles.
+
+Inside a bucket a text is compared with all others at once, and texts that are already linked to
+the bucket's largest component are not taken up again: what lies outside of it is compared with
+everything, which leaves no pair of different components open. Only links leave the task. Buckets
+beyond BUCKET texts are dealt to several tasks in chunks; there the texts outside the largest
+component are compared, as a query set, with every chunk.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +28,8 @@ SHINGLE = 8  # characters
 BANDS, ROWS = 10, 4  # finds a pair at Jaccard 0.8 with probability 0.995, at 0.9 with more than 0.9999
 THRESHOLD = 0.8
 BLOCK = 1 << 16  # characters whose shingles are hashed at once
+BUCKET = 1024  # texts of a bucket that are compared in one task
+FEW = 12  # texts of a bucket up to which sets are intersected one by one
 
 
 def normal_lines(text: str | None) -> list[str]:
@@ -125,59 +137,129 @@ def _texts(shingle: int):
     return run
 
 
-def jaccard(a: str, b: str, shingle: int) -> float:
+def jaccard(a: str, b: str, shingle: int = SHINGLE) -> float:
+    """Jaccard index of two lines' shingle sets; a shorter line is its own only shingle."""
     x = {a[i : i + shingle] for i in range(max(1, len(a) - shingle + 1))}
     y = {b[i : i + shingle] for i in range(max(1, len(b) - shingle + 1))}
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
 
-def _verified(shingle: int, threshold: float):
+def bucket_links(names: list[int], bodies: list[str], shingle: int, threshold: float, asked: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Links whose closure joins all texts of a bucket within the threshold.
+
+    With ``asked``, only pairs with a text that is asked for are looked at, all of them.
+    """
+    sets = [{body[i : i + shingle] for i in range(len(body) - shingle + 1)} for body in bodies]
+    size = np.array([len(x) for x in sets])
+    if len(sets) > FEW:
+        number = {x: i for i, x in enumerate(set().union(*sets))}
+        sets = [np.fromiter([number[x] for x in own], np.int32, len(own)) for own in sets]
+        flat, at, mark = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)[:-1]]), np.zeros(len(number), np.int32)
+
+    def shared(x: int) -> np.ndarray:
+        """Shingles that text x has in common with each."""
+        if len(sets) <= FEW:
+            return np.array([len(sets[x] & other) for other in sets])
+        mark[sets[x]] = 1
+        both = np.add.reduceat(mark[flat], at)
+        mark[sets[x]] = 0
+        return both
+
+    root, count = list(range(len(names))), Counter({i: 1 for i in range(len(names))})
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    links: list[tuple[int, int]] = []
+    largest, open_ = 0, [i for i in range(len(names)) if asked is None or asked[i]]
+    while open_:
+        later = []
+        for x in open_:
+            if asked is None and x != largest and find(x) == find(largest):
+                later.append(x)  # is taken up if another component outgrows this one
+                continue
+            both = shared(x)
+            for y in np.flatnonzero(both >= threshold * (size[x] + size - both)).tolist():
+                a, b = find(x), find(y)
+                if a != b:
+                    root[b] = a
+                    count[a] += count.pop(b)
+                    links.append((names[x], names[y]))
+            if count[find(x)] > count[find(largest)]:
+                largest = x
+        open_ = later if any(find(x) != find(largest) for x in later) else []
+    return links
+
+
+def _bucket_rows(shingle: int, threshold: float):
+    """Rows come sorted by bucket and chunk; a group is at hand before its links are made."""
+
+    def made(rows):
+        rows = list({r[2]: r for r in reversed(rows)}.values())  # a text that is asked for comes first
+        asked = [r[4] for r in rows]
+        return bucket_links([r[2] for r in rows], [r[3] for r in rows], shingle, threshold, asked if any(asked) else None) if len(rows) > 1 else []
+
     def run(batches):
+        held = []
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            ok = pa.array([jaccard(p, q, shingle) >= threshold for p, q in zip(x, y)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in batch.columns[:2]], ["a", "b"])
+            rows = held + list(zip(*(c.to_pylist() for c in batch.columns)))
+            groups = [list(g) for _, g in groupby(rows, key=lambda r: r[:2])]
+            held = groups.pop() if groups else []
+            links = [link for g in groups for link in made(g)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], ["a", "b"])
+        links = made(held)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], ["a", "b"])
 
     return run
 
 
-def _verify(pairs: DataFrame, bodies: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    left = bodies.select(F.col("line").alias("a"), F.col("body").alias("x"))
-    right = bodies.select(F.col("line").alias("b"), F.col("body").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(shingle, threshold), "a long, b long")
+def _compared(rows: DataFrame, bodies: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links found in the groups (key, chunk) of ``rows`` (key, chunk, line, asked)."""
+    texts = rows.join(bodies, "line").select("key", "chunk", "line", "body", "asked")
+    dealt = texts.repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.desc("asked"))
+    return dealt.mapInArrow(_bucket_rows(shingle, threshold), "a long, b long")
 
 
-def _similar(docs: DataFrame, lines: DataFrame, shingle: int, threshold: float) -> DataFrame:
+def _similar(docs: DataFrame, lines: DataFrame, shingle: int, threshold: float, bucket: int) -> DataFrame:
     """(node, root) of the lines that are similar to another, closed by union-find."""
     keyed = lines.select(F.explode("keys").alias("key"), "line")
     # Buckets with more than one text; hot buckets shrink to one row per task before the shuffle.
-    live = cut(keyed.groupBy("key").agg(F.min("line").alias("first"), F.max("line").alias("last")).where("first < last"), "live-bands")
-    members = cut(sift(keyed, "key", live, "key").join(live.select("key", "first"), "key").distinct(), "band-members")
+    live = cut(keyed.groupBy("key").agg(F.min("line").alias("first"), F.max("line").alias("last")).where("first < last").select("key"), "live-bands")
+    members = sift(keyed, "key", live, "key").distinct().join(live, "key", "left_semi")
+    members = cut(members, "band-members")
     bodies = docs.select("text").mapInArrow(_texts(shingle), "line long, body string")
-    needed = members.select("line").distinct()
-    bodies = cut(sift(bodies, "line", needed, "line").dropDuplicates(["line"]), "bodies")
-    # First every member against the first of its bucket ...
-    pairs = members.where("line != first").select(F.col("first").alias("a"), F.col("line").alias("b")).distinct()
-    links = cut(_verify(pairs, bodies, shingle, threshold), "links")
+    bodies = cut(sift(bodies, "line", members, "line").dropDuplicates(["line"]), "bodies")
+    # Near copies meet in many bands: buckets of the same texts (by count and two hashes) are
+    # looked at once. Large buckets all stay, so that their chunks mix.
+    marks = [F.bit_xor(F.xxhash64("line", F.lit(i))).alias(f"h{i}") for i in range(2)]
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), *marks)
+    alone = F.when(F.col("n") > bucket, F.col("key")).otherwise(0)
+    sizes = sizes.groupBy("n", "h0", "h1", alone.alias("alone")).agg(F.min("key").alias("key"))
+    sizes = sizes.select("key", F.ceil(F.col("n") / F.lit(float(bucket))).cast("int").alias("chunks"))
+    # A text falls in another chunk in every band, so most chunks meet through other buckets.
+    chunk = F.pmod(F.xxhash64("key", "line"), F.col("chunks")).cast("int")
+    dealt = cut(members.join(sizes, "key").select("key", "chunks", "line", chunk.alias("chunk")), "dealt-members")
+    links = cut(_compared(dealt.select("key", "chunk", "line", F.lit(False).alias("asked")), bodies, shingle, threshold), "links")
     rooted = components(links, "a", "b")
-    # ... then those it did not reach against all members of other components, so that no pair of
-    # a bucket stays open and none inside a component is compared again.
-    known = members.join(rooted, members["line"] == rooted["node"], "left").select("key", "line", "first", F.coalesce("root", "line").alias("root"))
-    known = cut(known, "rooted-members")
-    lead = known.where("line = first").select("key", F.col("root").alias("lead"))
-    apart = known.join(lead, "key").where("root != lead").select("key", F.col("line").alias("p"), F.col("root").alias("rp"))
-    other = known.select("key", F.col("line").alias("q"), F.col("root").alias("rq"))
-    met = apart.join(other, (apart["key"] == other["key"]) & (F.col("rp") != F.col("rq")))
-    rest = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(_verify(rest, bodies, shingle, threshold), "links")
-    if more.isEmpty():
+    large = cut(dealt.where("chunks > 1"), "large-buckets")
+    if large.isEmpty():
         return rooted
+    known = large.join(rooted, large["line"] == rooted["node"], "left").select("key", "chunks", "line", "chunk", F.coalesce("root", "line").alias("root"))
+    known = cut(known, "rooted-members")
+    most = known.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    asked = known.join(most, "key").where("root != most")
+    asked = asked.select("key", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "line", F.lit(True).alias("asked"))
+    rest = known.join(asked.select("key").distinct(), "key", "left_semi").select("key", "chunk", "line", F.lit(False).alias("asked"))
+    more = cut(_compared(asked.union(rest), bodies, shingle, threshold), "links")
     return components(links.union(more), "a", "b")
 
 
-def dropped_lines(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(_doc, line_no) of the lines to drop: all but the first of each component, by (doc_id, line_no).
+def dropped_lines(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, bucket: int = BUCKET) -> DataFrame:
+    """(_doc, line_no, line) of the lines to drop: all but the first of each component, by (doc_id, line_no).
 
     A null doc_id (``_doc`` null) comes after all others. Rows that share a doc_id are one document.
     """
@@ -185,14 +267,14 @@ def dropped_lines(docs: DataFrame, shingle: int = SHINGLE, threshold: float = TH
     lines = cut(narrow.mapInArrow(_line_rows(shingle, bands, rows), "doc_id long, line_no int, line long, keys array<long>"), "lines")
     where = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
     first = lines.groupBy("line").agg(F.min(where).alias("first"), F.count("*").alias("n"))
-    similar = _similar(narrow, lines, shingle, threshold)
+    similar = _similar(narrow, lines, shingle, threshold, bucket)
     named = first.join(similar, first["line"] == similar["node"], "left")
     # Only texts that occur twice or have a similar one can lose a line.
     named = cut(named.where("n > 1 or root is not null").select("line", "first", F.coalesce("root", "line").alias("root")), "shared-lines")
     kept = named.groupBy("root").agg(F.min("first").alias("kept"))
     kept = cut(named.join(kept, "root").select("line", "kept"), "kept-lines")
     again = sift(lines.select("doc_id", "line_no", "line"), "line", kept, "line").join(kept, "line")
-    return again.where(~where.eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("_doc"), "line_no").distinct()
+    return again.where(~where.eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("_doc"), "line_no", "line").distinct()
 
 
 def _without_lines(batches):
@@ -202,8 +284,10 @@ def _without_lines(batches):
         total, kept, out = [], [], []
         for t, g in zip(text, gone):
             lines = [] if t is None else t.split("\n")
-            drop = set(g or ())
-            left = [x for i, x in enumerate(lines) if i not in drop]
+            drop = {(x["line_no"], x["line"]) for x in g or ()}
+            numbers = {n for n, _ in drop}
+            plain = normal_lines(t) if drop else []
+            left = [x for i, x in enumerate(lines) if i not in numbers or (i, line_id(plain[i])) not in drop]
             total.append(len(lines))
             kept.append(len(left))
             out.append(None if t is None else "\n".join(left))
@@ -211,17 +295,19 @@ def _without_lines(batches):
         yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int32()), pa.array(kept, pa.int32())], [*names, "_lines", "_kept"])
 
 
-def dedup_lines(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, bucket: int = BUCKET
+) -> DataFrame:
     """``docs`` with repeated and near-repeated lines taken out of ``text``; all rows and columns stay.
 
     Of each component of lines the first by (doc_id, line number) stays, anywhere in the corpus. Two
     texts are linked if the Jaccard index of their character shingle sets is at least ``threshold``;
     texts shorter than ``shingle`` are linked only if equal. Blank lines stay. A null text stays null.
     Adds ``_lines`` and ``_kept`` (how many lines the text had and has). Rows that share a doc_id are
-    one document: a line kept in it is kept in each of its rows. Lines of null ids are last in order,
-    so of a repeated line the copy under a known id stays.
+    one document: a line that stays is kept in each row that has it in that place. Lines of null ids
+    are last in order, so of a repeated line the copy under a known id stays.
     """
-    gone = dropped_lines(docs, shingle, threshold, bands, rows).groupBy("_doc").agg(F.collect_set("line_no").alias("_gone"))
+    gone = dropped_lines(docs, shingle, threshold, bands, rows, bucket).groupBy("_doc").agg(F.collect_set(F.struct("line_no", "line")).alias("_gone"))
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_doc"]), "left").drop("_doc")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema)
     return joined.mapInArrow(_without_lines, f"{fields}, _lines int, _kept int").drop("_gone")
