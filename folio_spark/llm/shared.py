@@ -1,12 +1,13 @@
-"""Helpers of this subpackage: durable tables, bitmap pre-filters, connected components."""
+"""Helpers of this subpackage: durable tables, anti-joins, connected components."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.prefilter import maybe_in, sift  # noqa: F401
 from ..session import shared_dir
 
 
@@ -24,35 +25,6 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slot(key: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(1 << bits))
-
-
-def bitmap(keys: DataFrame, name: str, bits: int) -> DataFrame:
-    """At most 2^bits / 64 rows (word, word_bits): the size is bounded whatever ``keys`` holds."""
-    at = keys.select(slot(F.col(name), bits).alias("s"))
-    return at.groupBy(F.expr("shiftright(s, 6)").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("_bits"))
-
-
-def maybe_in(df: DataFrame, name: str, keys: DataFrame, key_name: str, bits: int = 23) -> DataFrame:
-    """``df`` with boolean ``_maybe``: false only where ``name`` is surely not in ``keys``.
-
-    The broadcast side is a bitmap of 2^(bits - 6) words (2 MB at 23), so it does not grow with
-    the data; on very large key sets it lets more rows through, and the exact join that follows
-    every use decides. Null keys are never in.
-    """
-    at = df.withColumn("_slot", slot(F.col(name), bits))
-    words = F.broadcast(bitmap(keys, key_name, bits))
-    hit = at.join(words, F.expr("shiftright(_slot, 6)") == words["_word"], "left")
-    seen = F.expr("shiftright(_bits, cast(_slot & 63 as int)) & 1") == 1
-    return hit.withColumn("_maybe", F.coalesce(seen & F.col(name).isNotNull(), F.lit(False))).drop("_slot", "_word", "_bits")
-
-
-def sift(df: DataFrame, name: str, keys: DataFrame, key_name: str, bits: int = 23) -> DataFrame:
-    """The rows of ``df`` whose key may be in ``keys`` (a superset of the semi-join)."""
-    return maybe_in(df, name, keys, key_name, bits).where("_maybe").drop("_maybe")
-
-
 def without(df: DataFrame, name: str, removed: DataFrame, key_name: str) -> DataFrame:
     """Anti-join that shuffles only rows which may match; the others stay where they are."""
     marked = maybe_in(df, name, removed, key_name)
@@ -77,9 +49,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.where("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
         moved = large.join(low, F.col("u") == F.col("c")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(low.select(F.col("c").alias("u"), F.col("m").alias("v")).union(moved).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == mark:
+        e = low.select(F.col("c").alias("u"), F.col("m").alias("v")).union(moved).distinct()
+        seen = Observation()  # counted while the table is written
+        e = cut(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")), "edges")
+        if (now := seen.get) == mark:
             break
         mark = now
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
