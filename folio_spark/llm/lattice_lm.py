@@ -31,7 +31,8 @@ MARK = "▁"  # the tokenizer's word mark
 STOP = b""  # ends a word
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))  # A-Z only
 PRIOR = 0.01  # added to every expected count, so that each piece keeps some probability
-ROUNDS = 4
+PLAIN = 60  # bytes of a word up to which products are tried before logarithms
+ROUNDS = 2
 COMMON_WORDS = 200_000  # words whose scores are sent to every task; the rest is joined
 LN10 = math.log(10.0)
 
@@ -66,16 +67,16 @@ def normalised(weights: dict[bytes, float], words: float) -> dict[bytes, float]:
     return {k: v / (opening if k[:1] == b"\0" else inside) for k, v in weights.items()} | {STOP: words / inside}
 
 
-def trie(logs: dict[bytes, float]) -> dict:
-    """Nested dicts by byte; key -1 holds the piece's log probability, -2 the piece."""
-    root: dict = {}
-    for piece, value in logs.items():
+def trie(logs: dict[bytes, float]) -> list:
+    """Nodes [children by byte, log probability or None, probability, number of the piece]."""
+    root: list = [{}, None, 0.0, -1]
+    for number, (piece, value) in enumerate(logs.items()):
         if piece == STOP:
             continue
         node = root
         for b in piece:
-            node = node.setdefault(b, {})
-        node[-1], node[-2] = value, piece
+            node = node[0].setdefault(b, [{}, None, 0.0, -1])
+        node[1:] = value, math.exp(value), number
     return root
 
 
@@ -85,43 +86,63 @@ def log_add(x: float, y: float) -> float:
     return x if y == -math.inf else x + math.log1p(math.exp(y - x))
 
 
-def forward(word: bytes, root: dict) -> tuple[list[float], list[tuple[int, int, dict]]]:
+def forward(word: bytes, root: list) -> tuple[list[float], list[tuple[int, int, list]]]:
     """Log of the summed weight of all segmentations of each prefix, and the lattice's arcs."""
-    n = len(word)
-    alpha = [-math.inf] * (n + 1)
+    none, log1p, exp = -math.inf, math.log1p, math.exp
+    alpha = [none] * (len(word) + 1)
     alpha[0] = 0.0
     arcs = []
-    for i in range(n):
-        before = alpha[i]
-        node = root
-        for j in range(i, n):
-            node = node.get(word[j])
-            if node is None:
-                break
-            if -1 in node:
-                arcs.append((i, j + 1, node))
-                x = before + node[-1]
-                y = alpha[j + 1]
-                if y == -math.inf:
-                    alpha[j + 1] = x
+    for i in range(len(word)):
+        before, node, j = alpha[i], root, i
+        while (node := node[0].get(word[j])) is not None:
+            j += 1
+            if (value := node[1]) is not None:
+                arcs.append((i, j, node))
+                x, y = before + value, alpha[j]
+                if y == none:
+                    alpha[j] = x
                 elif x > y:
-                    alpha[j + 1] = x + math.log1p(math.exp(y - x))
+                    alpha[j] = x + log1p(exp(y - x))
                 else:
-                    alpha[j + 1] = y + math.log1p(math.exp(x - y))
+                    alpha[j] = y + log1p(exp(x - y))
+            if j == len(word):
+                break
     return alpha, arcs
 
 
-def expected(word: bytes, root: dict, totals: dict[bytes, float]) -> None:
-    """Add the expected number of uses of each piece in the word."""
+def expected(word: bytes, root: list, totals: list[float]) -> None:
+    """Add the expected number of uses of each piece (by number) in the word.
+
+    Plain products serve while they do not underflow, logarithms for the rest.
+    """
+    n = len(word)
+    if n <= PLAIN:
+        ahead, arcs = [1.0] + [0.0] * n, []
+        for i in range(n):
+            if not (before := ahead[i]):
+                continue
+            node, j = root, i
+            while (node := node[0].get(word[j])) is not None:
+                j += 1
+                if value := node[2]:
+                    arcs.append((i, j, value, node[3]))
+                    ahead[j] += before * value
+                if j == n:
+                    break
+        if (whole := ahead[n]) > 1e-250:
+            back = [0.0] * n + [1.0]
+            for i, j, value, number in reversed(arcs):
+                if after := value * back[j]:
+                    back[i] += after
+                    totals[number] += ahead[i] * after / whole
+            return
     alpha, arcs = forward(word, root)
-    beta = [-math.inf] * (len(word) + 1)
+    beta = [-math.inf] * (n + 1)
     beta[-1] = 0.0
     for i, j, node in reversed(arcs):  # arcs leave in order of their start, so beta[j] is final
-        beta[i] = log_add(beta[i], node[-1] + beta[j])
-    whole = alpha[-1]
+        beta[i] = log_add(beta[i], node[1] + beta[j])
     for i, j, node in arcs:
-        piece = node[-2]
-        totals[piece] = totals.get(piece, 0.0) + math.exp(alpha[i] + node[-1] + beta[j] - whole)
+        totals[node[3]] += math.exp(alpha[i] + node[1] + beta[j] - alpha[-1])
 
 
 def _count_words(batches):
@@ -143,11 +164,13 @@ def _with_held(docs: DataFrame, fold: int, of: int) -> DataFrame:
 
 def _expectation(shared):
     def run(batches):
-        root, totals = trie(shared.value), {}
+        root, totals, pieces = trie(shared.value), [0.0] * len(shared.value), list(shared.value)
         for batch in batches:
             for word in batch.column(0).to_pylist():
                 expected(b"\0" + word, root, totals)
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.binary()), pa.array(list(totals.values()), pa.float64())], ["piece", "n"])
+        used = [i for i, n in enumerate(totals) if n]
+        columns = [pa.array([pieces[i] for i in used], pa.binary()), pa.array([totals[i] for i in used], pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, ["piece", "n"])
 
     return run
 

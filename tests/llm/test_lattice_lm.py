@@ -18,7 +18,7 @@ def segmentations(word, pieces):
                 yield [word[:n], *rest]
 
 
-def test_forward_sums_all_segmentations():
+def test_forward_sums_all_segmentations(monkeypatch):
     rng = random.Random(4)
     pieces = {b"\0", b"a", b"b", b"\0a", b"ab", b"ba", b"\0ab", b"aba", b"bb", b"abab"}
     logs = {p: math.log(rng.uniform(0.01, 0.3)) for p in pieces}
@@ -26,13 +26,17 @@ def test_forward_sums_all_segmentations():
     for word in (b"", b"a", b"ab", b"abab", b"bbabaab"):
         want = sum(math.exp(sum(logs[p] for p in s)) for s in segmentations(b"\0" + word, pieces))
         assert L.forward(b"\0" + word, root)[0][-1] == pytest.approx(math.log(want))
-        totals = {}
-        L.expected(b"\0" + word, root, totals)
+        plain, logs_only = [0.0] * len(logs), [0.0] * len(logs)
+        L.expected(b"\0" + word, root, plain)
+        monkeypatch.setattr(L, "PLAIN", 0)
+        L.expected(b"\0" + word, root, logs_only)
+        monkeypatch.undo()
         uses = {}
         for s in segmentations(b"\0" + word, pieces):
             for p in s:
                 uses[p] = uses.get(p, 0) + math.exp(sum(logs[q] for q in s)) / want
-        assert totals == pytest.approx(uses)
+        for totals in (plain, logs_only):
+            assert {p: n for p, n in zip(logs, totals) if n} == pytest.approx(uses)
 
 
 def test_long_words_do_not_underflow():
