@@ -181,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, of: int = 3, sample:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def with_text(some: DataFrame) -> DataFrame:
-        return sift(texts, "doc_id", some, "_id").join(some, F.col("doc_id") == F.col("_id")).select("text", (F.col("toxic") > 0).alias("toxic"), "doc_id")
+        # One way at every size: labels grow with the documents, so they are merged and never broadcast.
+        return sift(texts, "doc_id", some, "_id").join(some.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", (F.col("toxic") > 0).alias("toxic"), "doc_id")
 
     labelled = with_text(known)
     sizes = {bool(r.toxic): r.n for r in known.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
