@@ -28,8 +28,8 @@ WINDOW = 24  # words taken from a sampled document
 LEXICON_WORDS = 20_000  # most frequent words that are mostly of one language
 PURITY = 0.8
 EPOCHS = 60
-BLOCK = 1 << 20  # characters whose features are held at once
-CHAIN = 1 << 22  # characters that go through forward-backward at once
+BLOCK = 1 << 18  # characters whose features are held at once
+CHAIN = 1 << 20  # characters that go through forward-backward at once
 
 _B = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 
