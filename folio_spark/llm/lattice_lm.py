@@ -32,7 +32,7 @@ STOP = b""  # ends a word
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))  # A-Z only
 PRIOR = 0.01  # added to every expected count, so that each piece keeps some probability
 PLAIN = 60  # bytes of a word up to which products are tried before logarithms
-ROUNDS = 2
+ROUNDS = 4
 COMMON_WORDS = 200_000  # words whose scores are sent to every task; the rest is joined
 LN10 = math.log(10.0)
 

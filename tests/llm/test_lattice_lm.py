@@ -96,3 +96,14 @@ def test_likelier_in_order_of_frequency(spark, sf_dir):
     both = spark.createDataFrame(rows + mixed, "doc_id long, text string")
     got = {r.doc_id: r.score / r.n_tokens for r in L.score_texts(both, rounds=2).collect()}
     assert all(got[i] < got[i - 10_000_000] for i, _ in mixed)
+
+
+def test_scores_come_from_four_rounds(spark, sf_dir):
+    """Fewer rounds spell held-out words worse; the default is not cut short."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+    def held_out(**more):
+        return sum(r.score for r in L.score_texts(docs, **more).where("held_out").collect())
+
+    whole = held_out()
+    assert whole == pytest.approx(held_out(rounds=4), rel=1e-9) and whole > held_out(rounds=2) + 1
