@@ -1,18 +1,20 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 A text is its words (runs of letters, digits and underscores, lower case). A document leaks an
-item of n words if some window of n of its words is within floor(MAX_EDITS * n) word edits of the
-item. The CGK embedding walks through a string, emitting the current word at each of 3n steps
+item of n words if some run of its words, of any length, is within k = floor(MAX_EDITS * n) word
+edits of the item; such a run has n - k to n + k words. The CGK embedding walks through a string, emitting the current word at each of 3n steps
 and moving on by a random bit that depends on step and word; strings at a small edit distance
 fall back into step, so their embeddings agree in many places. Sampling a few places of the
-embedding gives a key; windows and items that share a key in any of several tables are candidates,
-and every candidate is verified by its exact edit distance.
+embedding gives a key; windows of n words and items that share a key in any of several tables are
+candidates, and every candidate is verified by the item's exact edit distance to the nearest run of
+words in or up to k words around the window.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from functools import partial
 from itertools import islice
 
 import numpy as np
@@ -61,6 +63,28 @@ def edits(a: list[int], b: list[int], most: int) -> int:
     return row[len(b)]
 
 
+def nearest(item: list[int], words: list[int]) -> int:
+    """Edit distance of ``item`` to the run of ``words`` nearest to it, the empty one too.
+
+    Myers' bit vectors: bit i of ``up`` / ``down`` says that the distance rises / falls from i to
+    i + 1 words of the item, for runs that end with the current word and start anywhere.
+    """
+    n = len(item)
+    full, last, at = (1 << n) - 1, 1 << (n - 1), defaultdict(int)
+    for i, x in enumerate(item):
+        at[x] |= 1 << i
+    up, down, score, best = full, 0, n, n
+    for x in words:
+        same = at.get(x, 0)
+        across = (((same & up) + up) ^ up) | same
+        rises, falls = (down | ~(across | up)) & full, up & across
+        score += bool(rises & last) - bool(falls & last)
+        best = min(best, score)
+        rises, falls, same = (rises << 1) & full, (falls << 1) & full, same | down
+        up, down = (falls | ~(same | rises)) & full, rises & same
+    return best
+
+
 def moves(n: int, walk: int) -> np.ndarray:
     """The walk's random bits by step and symbol class; the class after the last, the end, never moves."""
     bits = np.random.default_rng([walk, 20240610]).integers(0, 2, (2 * n, CLASSES + 1), np.uint8)
@@ -141,8 +165,11 @@ def measured_recall(n: int, walks: int, keys: int, in_key: int, vocabulary: int
     return float(met.mean())
 
 
-def prepared(items: list[tuple[int, str]], share: float = MAX_EDITS) -> dict:
-    """What tasks need of some items: word ids, items by length, and the keys of their embeddings."""
+def prepared(items: list[tuple[int, str]], share: float = MAX_EDITS, runs: bool = False) -> dict:
+    """What tasks need of some items: word ids, items by length, and the keys of their embeddings.
+
+    With ``runs`` a leak is a run of words of any length within the edits, else an item-sized window.
+    """
     vocabulary: dict[str, int] = {}
     by_size = defaultdict(list)
     for item_id, text in items:
@@ -161,7 +188,7 @@ def prepared(items: list[tuple[int, str]], share: float = MAX_EDITS) -> dict:
     for i, n in enumerate(sizes):
         for _, ids in by_size[n]:
             pairs[_pair_slots(np.array(ids))] |= np.uint64(1 << i % 64)
-    return {"vocabulary": vocabulary, "by_size": dict(by_size), "sizes": sizes, "tables": tables, "share": share, "pairs": pairs}
+    return {"vocabulary": vocabulary, "by_size": dict(by_size), "sizes": sizes, "tables": tables, "share": share, "pairs": pairs, "runs": runs}
 
 
 def _pair_slots(ids: np.ndarray) -> np.ndarray:
@@ -172,25 +199,24 @@ def _pair_slots(ids: np.ndarray) -> np.ndarray:
 def leaks(texts: list[str | None], held: dict) -> list[set[int]]:
     """Ids of the items that each text leaks.
 
-    Windows are item-sized and start at every word. ``k`` edits spoil at most ``2k`` of an item's
-    ``n - 1`` pairs of neighbouring words, so a window with fewer than ``n - 1 - 2k`` pairs that
-    occur in items of its size is further off than that from all of them, and is not embedded.
+    Windows are item-sized and start at every word and in the gap before it, so that words missing
+    at a text's head count as those missing at its end do. A run within ``k`` edits keeps at least
+    ``n - 1 - 2k`` of an item's pairs of neighbouring words, and so does a window of ``n`` words over
+    it: a window with fewer pairs that occur in items of its size is not embedded.
     """
     found: list[set[int]] = []
     vocabulary, sizes = held["vocabulary"], held["sizes"]
     if not sizes:
         return [set() for _ in texts]
-    gap = [OTHER] * (allowed(sizes[-1], held["share"]) + 1)  # no window that reaches past a gap can match
-    ids, start_of, own = [], [], []
+    gap = [OTHER] * (allowed(sizes[-1], held["share"]) + 1)
+    ids, start_of = [], []
     for i, text in enumerate(texts):
-        start_of.append(len(ids))
-        words = [vocabulary.get(w, OTHER) for w in words_of(text)]
-        ids += words
+        start_of.append(len(ids))  # a text starts with the gap before it
         ids += gap
-        own += [True] * len(words) + [False] * len(gap)
+        ids += [vocabulary.get(w, OTHER) for w in words_of(text)]
         if len(ids) > BLOCK_WORDS or i == len(texts) - 1:
-            found += _block_leaks(np.array(ids, np.int64), np.array(own), start_of, held, sizes)
-            ids, start_of, own = [], [], []
+            found += _block_leaks(np.array(ids + gap, np.int64), [*start_of, len(ids)], held, sizes)
+            ids, start_of = [], []
     return found
 
 
@@ -207,8 +233,9 @@ def _dense_windows(hits: np.ndarray, n: int, need: int, count: int) -> np.ndarra
     return np.unique(np.repeat(low, size) + inside)
 
 
-def _block_leaks(ids: np.ndarray, own: np.ndarray, start_of: list[int], held: dict, sizes: list[int]) -> list[set[int]]:
-    found: list[set[int]] = [set() for _ in start_of]
+def _block_leaks(ids: np.ndarray, start_of: list[int], held: dict, sizes: list[int]) -> list[set[int]]:
+    """``start_of`` ends with the end of the last text, where its gap starts."""
+    found: list[set[int]] = [set() for _ in start_of[1:]]
     masks = held["pairs"][_pair_slots(ids)]
     masks[(ids[:-1] == OTHER) | (ids[1:] == OTHER)] = 0
     places_ = np.flatnonzero(masks)
@@ -217,8 +244,7 @@ def _block_leaks(ids: np.ndarray, own: np.ndarray, start_of: list[int], held: di
     starts, window_sizes = [], []
     for i, n in enumerate(sizes):
         hits = places_[(masks >> np.uint64(i % 64)) & np.uint64(1) == 1]
-        dense = _dense_windows(hits, n, n - 1 - 2 * allowed(n, held["share"]), len(ids) - n + 1)
-        starts.append(dense[own[dense]])  # a window starts with a word of its text
+        starts.append(_dense_windows(hits, n, n - 1 - 2 * allowed(n, held["share"]), min(len(ids) - n + 1, start_of[-1])))
         window_sizes.append(np.full(len(starts[-1]), n))
     starts, window_sizes = np.concatenate(starts), np.concatenate(window_sizes)
     pairs = set()
@@ -247,9 +273,15 @@ def _verify(pairs: set[tuple[int, int, int]], plain: list[int], start_of: list[i
         item_id, item = by_size[n][o]
         if item_id in found[text]:
             continue
-        window, most = plain[start : start + n], allowed(n, held["share"])
-        # Words beyond those the two have in common each cost an edit.
-        if sum((Counter(window) - Counter(item)).values()) <= most and edits(window, item, most) <= most:
+        most = allowed(n, held["share"])
+        if held["runs"]:
+            around = plain[max(start - most, start_of[text]) : min(start + n + most, start_of[text + 1])]
+            distance = nearest
+        else:
+            around = plain[start : start + n]
+            distance = partial(edits, most=most)
+        # Words of the item that are not around each cost an edit.
+        if sum((Counter(item) - Counter(around)).values()) <= most and distance(item, around) <= most:
             found[text].add(item_id)
 
 
@@ -270,7 +302,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDITS,
     Items are taken in turns of ``block``, so what is sent to the tasks is bounded whatever the size
     of the benchmark, and every item is searched in every text. Items without id, null or of fewer
     than MIN_WORDS words leak nowhere; a null or empty text leaks nothing. Repeated items give their
-    id once. A document shorter than an item can leak it if the missing words stay within the edits.
+    id once. A document leaks an item if any run of its words, wherever it starts and ends, is within
+    the edits: words may be missing at the document's head or end, or stand in between.
     """
     spark = docs.sparkSession
     out = docs.drop("leaked_items").withColumn("leaked_items", F.expr("cast(array() as array<bigint>)"))
@@ -278,7 +311,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDITS,
     known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").distinct()
     rows = iter(known.orderBy("item_id", "text").toLocalIterator())
     while some := [(r.item_id, r.text) for r in islice(rows, block)]:
-        shared = spark.sparkContext.broadcast(prepared(some, share))
+        shared = spark.sparkContext.broadcast(prepared(some, share, runs=True))
         out = out.mapInArrow(_mark(shared, out.columns.index("text"), out.columns.index("leaked_items")), fields)
     return out
 

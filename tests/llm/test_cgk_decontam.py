@@ -107,3 +107,45 @@ def test_shipped_benchmark(spark, sf_dir):
     got = {r.doc_id: set(r.leaked_items) for r in K.op6_decontaminate(docs, bench).collect()}
     exact = {(r.doc_id, i) for r in docs.collect() for i, t in items if t in r.text}
     assert exact and all(i in got[d] for d, i in exact)
+
+
+def nearest_run(text, item):
+    """Edit distance of the item to the run of the text's words nearest to it, by the plain table."""
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for x in text:
+        last, row = row, [0]
+        for j, y in enumerate(item, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+        best = min(best, row[-1])
+    return best
+
+
+def test_nearest_run():
+    rng = random.Random(3)
+    for _ in range(300):
+        item = [rng.randrange(1, 5) for _ in range(rng.randrange(1, 9))]
+        text = [rng.randrange(0, 5) for _ in range(rng.randrange(0, 20))]
+        assert K.nearest(item, text) == nearest_run([x or None for x in text], item)
+
+
+def test_passages_cut_at_either_end_or_stretched(spark, documents):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.sample(vocabulary, n))) for i, n in enumerate([10, 15, 20, 30, 45, 60] * 10)]
+    texts, short = [], []
+    for i, item in items:
+        own, k = item.split(), K.allowed(len(item.split()))
+        after = rng.choices(vocabulary, k=40)
+        stretched = list(own)
+        for at in sorted(rng.sample(range(1, len(own)), k), reverse=True):
+            stretched.insert(at, "new")
+        forms = [own[k:], own[k:] + after, after + own[:-k], stretched + after, after + stretched + after, [w for j, w in enumerate(own) if not j or j % 6][-len(own) + k :]]
+        texts += [(10 * i + f, " ".join(words)) for f, words in enumerate(forms)]
+        short.append((10 * i + 9, " ".join(own[k + 1 :])))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: set(r.leaked_items) for r in K.op6_decontaminate(documents(texts + short), benchmark).collect()}
+    within = [(d, i) for d, t in texts + short for i, item in items if nearest_run(t.split(), item.split()) <= K.allowed(len(item.split()))]
+    assert {(d, i) for d, found in got.items() for i in found} <= set(within) and not any(got[d] for d, _ in short)
+    lost = [d for d, i in within if i not in got[d]]
+    assert len(within) >= 300 and len(lost) <= 0.02 * len(within), lost
