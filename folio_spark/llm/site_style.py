@@ -6,8 +6,9 @@ out over the pages) and of its content (a text that many pages share says little
 importance are template and are removed from each page, as are branches that by element or name
 are no article text (menus, headers, footers, forms, comments and the like).
 
-Merging is a count by (host, path, feature), combined inside each task first, so a host with a
-third of all pages shuffles no more rows per task than a small one.
+Copies of a page's content count once per host, whatever task reads them. Merging is a count by
+(host, path, feature), combined inside each task first, so a host with a third of all pages shuffles
+no more rows per task than a small one.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 from collections import Counter
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,25 +228,46 @@ def host_of(url: str | None) -> str:
 LAYOUT, TEXT, PAGES = 0, 1, 2
 
 
-def _features(batches):
+def _contents(batches):
+    """Of each page its host, the hash of its text blocks in order, of its markup, and its nodes with text, packed."""
     for batch in batches:
-        counts: Counter = Counter()
-        seen, known = set(), {}
+        hosts, contents, pages, packed, known = [], [], [], [], {}
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            host = _hash(host_of(url))
-            page = (host, _hash(html or ""))
-            if page in seen:  # exact copies next to each other say nothing of a template
-                continue
-            seen.add(page)
             nodes, blocks = parse(html or "", known)
-            names = [_hash(text) for text, _ in blocks]
+            names, nodes = [_hash(text) for text, _ in blocks], [n for n in nodes if n.texts]
+            hosts.append(_hash(host_of(url)))
+            contents.append(_hash(*names))
+            pages.append(_hash(html or ""))
+            counts = [len(nodes), *(len(n.texts) for n in nodes), *(t for n in nodes for t in n.texts)]
+            hashes = [*(n.path for n in nodes), *(_hash(*n.kids) for n in nodes), *names]
+            packed.append(np.array(counts, np.uint32).tobytes() + np.array(hashes, np.int64).tobytes())
+        columns = [*(pa.array(c, pa.int64()) for c in (hosts, contents, pages)), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "content", "page", "nodes"])
+
+
+def _unpacked(packed: bytes) -> list[tuple[int, int, list[int]]]:
+    """(path, layout, texts) of a page's nodes."""
+    n = int(np.frombuffer(packed, np.uint32, 1)[0])
+    length = np.frombuffer(packed, np.uint32, n, 4).tolist()
+    at = np.frombuffer(packed, np.uint32, sum(length), 4 * (n + 1)).tolist()
+    hashes = np.frombuffer(packed[4 * (1 + n + len(at)) :], np.int64).tolist()
+    paths, layouts, names = hashes[:n], hashes[n : 2 * n], hashes[2 * n :]
+    out, done = [], 0
+    for path, layout, some in zip(paths, layouts, length):
+        out.append((path, layout, [names[t] for t in at[done : done + some]]))
+        done += some
+    return out
+
+
+def _features(batches):
+    for batch in batches:
+        counts: Counter = Counter()
+        for host, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             of_page = set()
-            for node in nodes:
-                if not node.texts:
-                    continue
-                of_page.add((host, node.path, PAGES, 0))
-                of_page.add((host, node.path, LAYOUT, _hash(*node.kids)))
-                of_page.update((host, node.path, TEXT, names[t]) for t in node.texts)
+            for path, layout, texts in _unpacked(packed):
+                of_page.add((host, path, PAGES, 0))
+                of_page.add((host, path, LAYOUT, layout))
+                of_page.update((host, path, TEXT, t) for t in texts)
             counts.update(of_page)
         columns = list(zip(*counts)) or [(), (), (), ()]
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
@@ -258,8 +281,12 @@ def importance(pages: DataFrame) -> DataFrame:
 
     With m pages, a layout that n of them use has p = n / m and adds -p log_m p; a text on n pages
     has the entropy log_m n, which is averaged over the node's texts. Nodes of one page have 1.
+    Pages of a host with the same text blocks in the same order are copies and count as one, the one
+    with the lowest hash of its markup, wherever in the table they are.
     """
-    raw = pages.select("url", "html").mapInArrow(_features, "host long, path long, kind int, feature long, pages long")
+    contents = pages.select("url", "html").mapInArrow(_contents, "host long, content long, page long, nodes binary")
+    once = contents.groupBy("host", "content").agg(F.min_by("nodes", "page").alias("nodes")).select("host", "nodes")
+    raw = once.mapInArrow(_features, "host long, path long, kind int, feature long, pages long")
     counts = cut(raw.groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("n")), "style-features")
     nodes = counts.where(F.col("kind") == PAGES).select("host", "path", F.col("n").alias("m"))
     used = counts.where((F.col("kind") != PAGES)).join(nodes, ["host", "path"])

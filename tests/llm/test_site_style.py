@@ -75,3 +75,19 @@ def test_shipped_pages(spark, sf_dir):
         texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", x))).split()) for x in parts]
         plain[r.page_id] = "\n".join(x for x in texts if x)
     assert rows_of(S.op2_main_text(pages), "page_id", "text") == sorted(plain.items(), key=repr)
+
+
+def test_copies_count_once_however_the_table_is_split(spark):
+    """Copies that differ in a comment and a script only, in many partitions, change no count."""
+
+    def page(i, copy=0):
+        return (f"https://h.example/{i}/{copy}", f"<!-- {copy} --><body><script>n={copy}</script><div class=n>Same</div><div class=b><p>Text {i} of its own.</p></div>")
+
+    def merged(rows, parts):
+        return rows_of(S.importance(spark.createDataFrame(rows, "url string, html string").repartition(parts)), "*")
+
+    once = [page(i) for i in range(6)]
+    copies = [page(0, k) for k in range(1, 40)] + [page(1)] * 5
+    want = merged(once, 1)
+    assert {r[2] for r in want} == {6}
+    assert merged(once + copies, 1) == want and merged(once + copies, 9) == want
