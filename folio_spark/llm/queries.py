@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cgk_decontam, chunks, crf_language, lattice_lm, line_dedup, poisson_mix, preference_chat, simhash, site_style, weak_toxicity
+from . import cgk_decontam, chunks, crf_language, lattice_lm, line_dedup, poisson_mix, preference_chat, quality_rules, simhash, site_style, weak_toxicity
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,11 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_poisson_mix"] = poisson_mix.OP10_SQL
+
+
+@_query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.op13_quality(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_quality"] = quality_rules.OP13_SQL
