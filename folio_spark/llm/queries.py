@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cgk_decontam, chunks, crf_language, lattice_lm, line_dedup, poisson_mix, preference_chat, quality_rules, simhash, site_style, weak_toxicity
+from . import cgk_decontam, chunks, crf_language, lattice_lm, line_dedup, merkle_manifest, poisson_mix, preference_chat, quality_rules, simhash, site_style, weak_toxicity
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,11 @@ def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_quality"] = quality_rules.OP13_SQL
+
+
+@_query
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.op11_manifest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_manifest"] = merkle_manifest.OP11_SQL
