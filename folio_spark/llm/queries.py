@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cgk_decontam, chunks, crf_language, lattice_lm, line_dedup, merkle_manifest, poisson_mix, preference_chat, quality_rules, simhash, site_style, weak_toxicity
+from . import cgk_decontam, chunks, crf_language, lattice_lm, line_dedup, merkle_manifest, poisson_mix, preference_chat, quality_rules, simhash, site_style, spelling_groups, weak_toxicity
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,11 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_manifest"] = merkle_manifest.OP11_SQL
+
+
+@_query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.op12_spelling(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_spelling"] = spelling_groups.OP12_SQL
