@@ -45,7 +45,8 @@ def leaf(values: Sequence[Column]) -> Column:
 
 class Manifest(NamedTuple):
     """``leaves``: (tree, rank, digest, row), one per row of the data, ranks from 0; ``trees``:
-    (tree, name, rank, n, digest) of the groups in order; ``store``: (digest, levels) records;
+    (tree, name, rank, n, digest) of the groups in order; ``store``: (digest, depth, levels) records,
+    where a depth of 0 is a digest that stands for itself alone;
     ``root``: the digest of all, null for no rows."""
 
     leaves: DataFrame
@@ -85,7 +86,7 @@ def build(nodes: DataFrame, arity: int = ARITY, digits: int = DIGITS) -> tuple[D
         levels = _upwards(F.transform("held", lambda h: h["digest"]), _depth(F.col("left"), arity, digits), arity)
         made = sized.select("tree", "block", "n", "left", levels.alias("levels"))
         made = cut(made.withColumn("digest", F.element_at(F.element_at("levels", -1), 1)), "records")
-        store.append(made.select("digest", "levels"))
+        store.append(made.select("digest", (F.size("levels") - 1).alias("depth"), "levels"))
         roots.append(made.where(F.col("left") <= width).select("tree", "n", "digest"))
         layer = made.where(F.col("left") > width).select("tree", F.col("block").alias("rank"), "digest")
         if layer.isEmpty():
@@ -119,7 +120,7 @@ def manifest(docs: DataFrame, group: str, order: str, fields: Sequence[str] = FI
     for s in [*store[1:], *above]:
         records = records.unionByName(s)
     # Equal subtrees are one record.
-    records = cut(records.groupBy("digest").agg(F.first("levels").alias("levels")), "store")
+    records = cut(records.groupBy("digest", "depth").agg(F.first("levels").alias("levels")), "store")
     return Manifest(leaves, trees, records, root[0]["digest"] if root else None, arity, digits)
 
 
@@ -152,15 +153,19 @@ def descend(tops: DataFrame, requests: DataFrame, store: DataFrame, arity: int =
     tops = tops.withColumn("layers", F.size(F.filter(F.array(*[F.lit(width**i) for i in range(1, layers + 1)]), lambda p: p < F.col("n"))))
     found = None
     for k in range(layers - 1, -1, -1):
-        here = tops.where(F.col("layers") == k).select("tree", F.lit(0).cast("long").alias("block"), F.col("digest").alias("top"), F.col("path").alias("above"))
+        left = F.ceil(F.col("n") / width**k)
+        here = tops.where(F.col("layers") == k).select(
+            "tree", F.lit(0).cast("long").alias("block"), F.col("digest").alias("top"), _depth(left, arity, digits).alias("levels_below"), F.col("path").alias("above")
+        )
         if found is not None:
-            here = here.unionByName(found.select("tree", F.col("rank").alias("block"), F.col("digest").alias("top"), F.col("path").alias("above")))
+            passed = found.select("tree", F.col("rank").alias("block"), F.col("digest").alias("top"), F.lit(digits).alias("levels_below"), F.col("path").alias("above"))
+            here = here.unionByName(passed)
         if k:
             wanted = requests.select("tree", F.floor(F.col("rank") / width**k).alias("rank"), F.lit(None).alias("row")).distinct()
         else:
             wanted = requests.select("tree", "rank", "row")
         asked = wanted.groupBy("tree", F.floor(F.col("rank") / width).alias("block")).agg(F.collect_list(F.struct("rank", "row")).alias("asked"))
-        met = asked.join(here, ["tree", "block"]).join(store, F.col("top") == store["digest"])
+        met = asked.join(here, ["tree", "block"]).join(store, (F.col("top") == store["digest"]) & (F.col("levels_below") == store["depth"]))
 
         def answer(r: Column) -> Column:
             at = (r["rank"] % width).cast("int")
