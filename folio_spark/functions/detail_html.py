@@ -1,4 +1,4 @@
-"""Facts of one detail page as columns over its markup: pairs, columns, title, phone, validity.
+"""Facts of one detail page as columns over its element tree: pairs, columns, title, phone, validity.
 
 A page is one row, so everything that belongs to it stays in arrays of that row:
 document order is array order, and no shuffle is needed to put a page together.
@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from . import html as H
 from . import text as X
+from . import tree as T
 
 PAIRS_TYPE = "array<struct<label:string,value:string>>"
 COLUMNS_TYPE = "array<struct<name:string,descr:string,dtype:string,length:string>>"
 PHONE_NORMS = X.norm_words(V.PHONE_LABELS)
+# How a text starts whose normal form is a phone label; tells most texts apart without making it.
+PHONE_START = rf"^{X.LABEL_NOISE}*[{''.join(sorted({n[0] for n in PHONE_NORMS}))}]"
 SKIP_NORMS = X.norm_words(V.COLUMN_SKIP_WORDS)
 LABEL_NORMS = list(dict.fromkeys(PHONE_NORMS + X.norm_words(V.BLOCK_LABELS)))
 
@@ -27,20 +30,27 @@ def _pattern(words: list[str]) -> str:
 
 
 # --- tables --------------------------------------------------------------------------
-def row_cells(row: Column, tags: str = "t[hd]") -> Column:
-    """array<struct<tag, raw, text>> of a table row or definition list."""
-    return F.transform(
-        H.pieces(row, tags),
-        lambda p: X.let(
-            F.struct(F.lower(F.substring(p, 2, 2)).alias("tag"), H.inner(H.until(p, tags)).alias("raw")),
-            lambda c: F.struct(c["tag"].alias("tag"), c["raw"].alias("raw"), H.text_of(c["raw"]).alias("text")),
-        ),
-    )
+def cells_of(t: Column, nodes: Column) -> Column:
+    """array<struct<tag, node, text>> of cell nodes."""
+    return F.transform(nodes, lambda n: F.struct(n["tag"].alias("tag"), n.alias("node"), T.text_of(t, n).alias("text")))
+
+
+def table_rows(t: Column) -> Column:
+    """Rows of every table, in page order; rows of an inner table belong to the outer one as well.
+
+    ``cells`` are a row's own cells, or all below it where it has none itself; ``paired`` are
+    its own, or all below it where it has fewer than two.
+    """
+    def row(tr: Column) -> Column:
+        def sides(own: Column) -> Column:
+            n = F.size(own)
+            everything = cells_of(t, T.tagged(T.below(t, tr), "th", "td"))
+            paired = F.when(n < 2, everything).otherwise(own)
+            return X.let(paired, lambda p: F.struct(F.when(n == 0, p).otherwise(own).alias("cells"), p.alias("paired")))
 
+        return X.let(cells_of(t, T.children(t, tr, "th", "td")), sides)
 
-def table_rows(markup: Column) -> Column:
-    """Rows of cells of every table, in page order."""
-    return F.transform(H.elements(markup, "table"), lambda t: F.transform(H.elements(t, "tr"), lambda r: row_cells(r)))
+    return F.transform(T.tagged(t["nodes"], "table"), lambda n: F.transform(T.tagged(T.below(t, n), "tr"), row))
 
 
 def column_header(rows: Column, searched: int | None = V.HEADER_SEARCH_ROWS) -> Column:
@@ -51,9 +61,9 @@ def column_header(rows: Column, searched: int | None = V.HEADER_SEARCH_ROWS) ->
     def at(keys: Column, allowed: list[str]) -> Column:
         return F.array_position(F.transform(keys, lambda k: k.isin(allowed)), F.lit(True)).cast("int")
 
-    def look(cells: Column, i: Column) -> Column:
+    def look(row: Column, i: Column) -> Column:
         return X.let(
-            F.transform(cells, lambda c: X.norm_key(c["text"])),
+            F.transform(row["cells"], lambda c: X.norm_key(c["text"])),
             lambda k: F.struct(
                 (i + 1).alias("row"),
                 at(k, V.HEADER_NAME_KEYS).alias("name"),
@@ -74,8 +84,8 @@ def column_header(rows: Column, searched: int | None = V.HEADER_SEARCH_ROWS) ->
     )
 
 
-def tables_with_headers(markup: Column) -> Column:
-    return F.transform(table_rows(markup), lambda r: F.struct(r.alias("rows"), column_header(r).alias("head")))
+def tables_with_headers(t: Column) -> Column:
+    return F.transform(table_rows(t), lambda r: F.struct(r.alias("rows"), column_header(r).alias("head")))
 
 
 def _is_heading_row(cells: Column) -> Column:
@@ -98,8 +108,8 @@ def column_rows(tables: Column) -> Column:
     def rows_of(t: Column) -> Column:
         body = F.slice(t["rows"], t["head"]["row"] + 1, F.greatest(F.size(t["rows"]) - t["head"]["row"], F.lit(0)))
         return F.transform(
-            F.filter(body, lambda c: ~_is_heading_row(c)),
-            lambda c: F.struct(*[cell(c, t["head"][k]).alias(k) for k in ("name", "descr", "dtype", "length")]),
+            F.filter(body, lambda r: ~_is_heading_row(r["cells"])),
+            lambda r: F.struct(*[cell(r["cells"], t["head"][k]).alias(k) for k in ("name", "descr", "dtype", "length")]),
         )
 
     def is_real(r: Column) -> Column:
@@ -119,13 +129,13 @@ def column_list(columns: Column) -> Column:
 
 
 # --- label/value pairs --------------------------------------------------------------------
-def phone_from_element(raw: Column) -> Column:
-    """Phone in an element's text, else in its scripts, else in its attributes."""
-    scripts = F.transform(F.regexp_extract_all(raw, F.lit(H.PLAIN_SCRIPT), F.lit(1)), lambda s: X.clean_text(s))
-    tags = F.regexp_extract_all(raw, F.lit(r"<[a-zA-Z][^>]*>"), F.lit(0))
-    values = F.flatten(F.transform(tags, lambda t: H.attributes(t, V.PHONE_ATTRIBUTES)))
+def phone_from_element(t: Column, node: Column, text: Column) -> Column:
+    """Phone in an element's ``text``, else in the scripts below it, else in attributes below it."""
+    inside = T.below(t, node)
+    scripts = F.transform(T.tagged(inside, "script"), lambda n: T.text_of(t, n))
+    values = F.flatten(F.transform(inside, lambda n: H.attributes(T.start_tag(t, n), V.PHONE_ATTRIBUTES)))
     attributes = F.transform(values, lambda v: X.clean_text(v))
-    sources = F.filter(F.concat(F.array(H.text_of(raw)), scripts, attributes), lambda s: s != "")
+    sources = F.filter(F.concat(F.array(text), scripts, attributes), lambda s: s != "")
 
     def pick(s: Column) -> Column:
         phones = F.filter(F.transform(s, lambda x: X.phone_number(x)), lambda p: p != "")
@@ -138,23 +148,24 @@ def _pair(label: Column, value: Column) -> Column:
     return F.struct(label.alias("label"), value.alias("value"))
 
 
-def _cell_value(label: Column, cell: Column) -> Column:
+def _cell_value(t: Column, label: Column, cell: Column) -> Column:
     hidden = X.is_in(X.norm_key(label), PHONE_NORMS) & (X.phone_number(cell["text"]) == "")
-    return F.when(hidden, X.first_filled(phone_from_element(cell["raw"]), cell["text"])).otherwise(cell["text"])
+    found = phone_from_element(t, cell["node"], cell["text"])
+    return F.when(hidden, X.first_filled(found, cell["text"])).otherwise(cell["text"])
 
 
 def _fits(label: Column) -> Column:
     return (label != "") & (F.length(label) <= V.MAX_LABEL_LENGTH)
 
 
-def pairs_of_row(cells: Column) -> Column:
+def pairs_of_row(t: Column, cells: Column) -> Column:
     """``th`` followed by ``td`` (B7); without any such pair, cells two by two."""
     n = F.size(cells)
 
     def headed() -> Column:
         def pair(a: Column, b: Column) -> Column:
             return F.when(
-                (a["tag"] == "th") & (b["tag"] == "td") & _fits(a["text"]), _pair(a["text"], _cell_value(a["text"], b))
+                (a["tag"] == "th") & (b["tag"] == "td") & _fits(a["text"]), _pair(a["text"], _cell_value(t, a["text"], b))
             )
 
         return F.filter(F.zip_with(F.slice(cells, F.lit(1), n - 1), F.slice(cells, F.lit(2), n - 1), pair), lambda p: p.isNotNull())
@@ -169,19 +180,22 @@ def pairs_of_row(cells: Column) -> Column:
     )
 
 
-def table_pairs(tables: Column) -> Column:
-    plain = F.filter(tables, lambda t: t["head"].isNull())
-    return F.flatten(F.flatten(F.transform(plain, lambda t: F.transform(t["rows"], pairs_of_row))))
+def table_pairs(t: Column, tables: Column) -> Column:
+    plain = F.filter(tables, lambda x: x["head"].isNull())
+    return F.flatten(F.flatten(F.transform(plain, lambda x: F.transform(x["rows"], lambda r: pairs_of_row(t, r["paired"])))))
 
 
-def dl_pairs(markup: Column) -> Column:
+def dl_pairs(t: Column) -> Column:
     """Terms and descriptions of each list, matched by position."""
-    def of_list(cells: Column) -> Column:
-        terms, values = F.filter(cells, lambda c: c["tag"] == "dt"), F.filter(cells, lambda c: c["tag"] == "dd")
-        both = F.zip_with(terms, values, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), _pair(a["text"], b["text"])))
+    def of_list(dl: Column) -> Column:
+        inside = T.below(t, dl)
+        both = F.zip_with(
+            cells_of(t, T.tagged(inside, "dt")), cells_of(t, T.tagged(inside, "dd")),
+            lambda a, b: F.when(a.isNotNull() & b.isNotNull(), _pair(a["text"], b["text"])),
+        )
         return F.filter(both, lambda p: p["label"] != "")
 
-    return F.flatten(F.transform(H.elements(markup, "dl"), lambda d: X.let(row_cells(d, "d[td]"), of_list)))
+    return F.flatten(F.transform(T.tagged(t["nodes"], "dl"), of_list))
 
 
 # --- text block --------------------------------------------------------------------------------
@@ -227,15 +241,21 @@ def block_pairs(block: Column) -> Column:
 
 
 # --- title, counts, validity ---------------------------------------------------------------------
-def page_title(markup: Column) -> Column:
+def page_title(t: Column) -> Column:
     """First title-like element that holds a real dataset title, else blank."""
-    found = F.concat(*[H.by_class(markup, c) for c in V.TITLE_CLASSES], *[H.by_tag(markup, t) for t in V.TITLE_TAGS])
+    classed = F.filter(t["nodes"], lambda n: F.get(t["raw"], n["open"]).contains("class"))
+    found = X.let(
+        classed,
+        lambda held: F.concat(
+            *[T.matching(t, held, H.class_tag("[a-z][a-z0-9]*", c)) for c in V.TITLE_CLASSES], *[T.tagged(t["nodes"], tag) for tag in V.TITLE_TAGS]
+        ),
+    )
 
-    def keep(t: Column) -> Column:
-        long_enough = t.contains("_") | (F.length(t) > 10)
-        return (t != "") & ~t.isin(V.DETAIL_STOP_TITLES) & long_enough & ~X.is_menu_title(t)
+    def keep(c: Column) -> Column:
+        long_enough = c.contains("_") | (F.length(c) > 10)
+        return (c != "") & ~c.isin(V.DETAIL_STOP_TITLES) & long_enough & ~X.is_menu_title(c)
 
-    cleaned = F.transform(found, lambda m: X.clean_dataset_title(H.text_of(m)))
+    cleaned = F.transform(found, lambda n: X.clean_dataset_title(T.text_of(t, n)))
     return F.coalesce(F.get(F.filter(cleaned, keep), F.lit(0)), F.lit(""))
 
 
@@ -265,57 +285,92 @@ def invalid_reason(text: Column, block: Column, chars: int | None = V.INVALID_HE
 
 
 # --- department phone --------------------------------------------------------------------------------
-def _labelled_cell(markup: Column) -> Column:
-    """Value cell behind the first phone label in a table row or definition list (null if none)."""
-    def values(cells: Column) -> Column:
-        def behind(c: Column, i: Column) -> Column:
-            is_label = c["tag"].isin("th", "dt") & X.is_in(X.norm_key(c["text"]), PHONE_NORMS)
-            rest = F.slice(cells, i + 2, F.greatest(F.size(cells) - i - 1, F.lit(0)))
-            return F.when(is_label, F.get(F.filter(rest, lambda x: x["tag"].isin("td", "dd")), F.lit(0)))
+def _phone_labels(t: Column, tags: tuple[str, ...] = ()) -> Column:
+    """array<struct<node, text>> of the elements that say a phone label and no more."""
+    # A label ends in this character, so only elements around a token that has it are spelled out.
+    places = F.filter(F.transform(t["text"], lambda x, i: F.when(x.contains("호"), i)), lambda i: i.isNotNull())
 
-        return F.filter(F.transform(cells, behind), lambda v: v.isNotNull())
+    def around(held: Column) -> Column:
+        near = F.filter(t["nodes"], lambda n: (n["tag"].isin(*tags) if tags else F.lit(True)) & F.exists(held, lambda i: (i >= n["open"]) & (i < n["stop"])))
+        return F.transform(near, lambda n: F.struct(n.alias("node"), T.text_of(t, n).alias("text")))
 
-    rows = F.transform(H.pieces(markup, "tr|dl"), lambda p: row_cells(H.until(p, "tr|dl"), "t[hd]|d[td]"))
-    return F.get(F.flatten(F.transform(rows, values)), F.lit(0))
+    return F.filter(X.let(places, around), lambda x: x["text"].rlike(X.rx(PHONE_START)) & X.is_in(X.norm_key(x["text"]), PHONE_NORMS))
 
 
-def _free_label_value(markup: Column) -> Column:
-    """Phone or text in the tags behind a stand-alone phone label, up to the next label."""
-    parts = F.transform(
-        H.pieces(markup, "[a-z][a-z0-9]*"), lambda p: F.struct(p.alias("raw"), H.text_of(p).alias("text"))
-    )
+def _labelled_cell(t: Column) -> Column:
+    """Value cell beside the first phone label in a table row or definition list (null if none)."""
+    def beside(n: Column) -> Column:
+        return F.get(T.tagged(T.siblings_behind(t, n), "td", "dd"), F.lit(0))
+
+    return F.get(F.filter(F.transform(_phone_labels(t, ("th", "dt")), lambda x: beside(x["node"])), lambda n: n.isNotNull()), F.lit(0))
 
-    def look(ps: Column) -> Column:
-        def behind(p: Column, i: Column) -> Column:
-            window = F.slice(ps, i + 2, F.least(F.greatest(F.size(ps) - i - 1, F.lit(0)), F.lit(V.PHONE_LOOKAHEAD_TAGS)))
 
-            def cut(w: Column) -> Column:
-                stops = F.array_position(F.transform(w, lambda x: X.is_in(X.norm_key(x["text"]), LABEL_NORMS)), F.lit(True))
-                return F.slice(w, F.lit(1), F.when(stops > 0, stops.cast("int") - 1).otherwise(F.size(w)))
+def _walk(t: Column, nodes: Column, label: Column | None) -> Column:
+    """Reads elements in turn: ``found`` decides, ``parts`` is the text up to the next label or phone.
 
-            def value(w: Column) -> Column:
-                phones = F.filter(F.transform(w, lambda x: phone_from_element(x["raw"])), lambda x: x != "")
-                joined = X.clean_text(F.array_join(F.transform(w, lambda x: x["text"]), " "))
-                plain = X.let(joined, lambda j: F.when(X.is_portal_phone(j), "").otherwise(X.first_filled(X.phone_number(j), j)))
-                return X.first_filled(F.coalesce(F.get(phones, F.lit(0)), F.lit("")), plain)
+    With the text of a ``label``, elements that repeat it are passed over, and a phone in the
+    text so far decides at once; else such a phone ends the walk.
+    """
+    def step(s: Column, n: Column) -> Column:
+        def seen(text: Column) -> Column:
+            def after(phone: Column) -> Column:
+                parts = F.when(s["parts"] == "", text).otherwise(F.concat_ws(" ", s["parts"], text))
+
+                def joined(p: Column) -> Column:
+                    number = X.phone_number(p)
+                    if label is None:
+                        return F.struct((number != "").alias("done"), F.lit(None).cast("string").alias("found"), p.alias("parts"))
+                    decided = F.when(X.is_portal_phone(p), "").otherwise(X.let(number, lambda v: F.when(v != "", v)))
+                    return X.let(decided, lambda d: F.struct(d.isNotNull().alias("done"), d.alias("found"), p.alias("parts")))
+
+                passed = text == "" if label is None else (text == "") | (text == label)
+                return (
+                    F.when(phone != "", F.struct(F.lit(True).alias("done"), phone.alias("found"), s["parts"].alias("parts")))
+                    .when(passed, s)
+                    .when(X.is_in(X.norm_key(text), LABEL_NORMS), F.struct(F.lit(True).alias("done"), s["found"].alias("found"), s["parts"].alias("parts")))
+                    .otherwise(X.let(parts, joined))
+                )
 
-            return F.when(X.is_in(X.norm_key(p["text"]), PHONE_NORMS), X.let(X.let(window, cut), value)).otherwise("")
+            return X.let(phone_from_element(t, n, text), after)
 
-        return F.coalesce(F.get(F.filter(F.transform(ps, behind), lambda v: v != ""), F.lit(0)), F.lit(""))
+        return F.when(s["done"], s).otherwise(X.let(T.text_of(t, n), seen))
 
-    return X.let(parts, look)
+    return F.aggregate(nodes, F.struct(F.lit(False).alias("done"), F.lit(None).cast("string").alias("found"), F.lit("").alias("parts")), step)
 
 
-def department_phone(markup: Column, block: Column) -> Column:
+def _free_label_value(t: Column, ahead: int = V.PHONE_LOOKAHEAD_TAGS) -> Column:
+    """What follows the first stand-alone phone label that leads anywhere; null if none does.
+
+    First the elements behind the label inside its parent, then the next ``ahead`` elements of the
+    page, descendants included, up to another label.
+    """
+    def beside(n: Column) -> Column:
+        def value(s: Column) -> Column:
+            plain = F.when(X.is_portal_phone(s["parts"]), "").otherwise(X.first_filled(X.phone_number(s["parts"]), s["parts"]))
+            return F.coalesce(s["found"], F.when(s["parts"] != "", plain))
+
+        return X.let(_walk(t, T.siblings_behind(t, n), None), value)
+
+    def behind(n: Column, text: Column) -> Column:
+        return _walk(t, T.span(t["nodes"], n["at"] + 1, F.least(n["at"] + ahead, F.size(t["nodes"]) - 1)), text)["found"]
+
+    start = F.lit(None).cast("string")
+    return F.aggregate(_phone_labels(t), start, lambda held, x: F.coalesce(held, beside(x["node"]), behind(x["node"], x["text"])))
+
+
+def department_phone(t: Column, block: Column) -> Column:
     """Phone of the managing department (B15); a label with an empty cell ends the search."""
-    def of_cell(c: Column) -> Column:
-        plain = F.when(X.is_portal_phone(c["text"]), "").otherwise(c["text"])
-        return X.first_filled(phone_from_element(c["raw"]), X.phone_number(c["text"]), plain)
+    def of_cell(n: Column) -> Column:
+        def value(text: Column) -> Column:
+            plain = F.when(X.is_portal_phone(text), "").otherwise(text)
+            return X.first_filled(phone_from_element(t, n, text), X.phone_number(text), plain)
+
+        return X.let(T.text_of(t, n), value)
 
     def in_block(b: Column) -> Column:
         return X.let(X.phone_after_label(b), lambda v: F.when(X.is_portal_phone(v), "").otherwise(v))
 
-    loose = X.first_filled(_free_label_value(markup), in_block(block))
-    named = markup.rlike(X.rx(V.PHONE_LABEL_PATTERN)) | block.rlike(X.rx(V.PHONE_LABEL_PATTERN))
-    found = X.let(_labelled_cell(markup), lambda c: F.when(c.isNotNull(), of_cell(c)).otherwise(loose))
+    loose = F.coalesce(_free_label_value(t), in_block(block))
+    named = T.page_text(t).rlike(X.rx(V.PHONE_LABEL_PATTERN)) | block.rlike(X.rx(V.PHONE_LABEL_PATTERN))
+    found = X.let(_labelled_cell(t), lambda n: F.when(n.isNotNull(), of_cell(n)).otherwise(loose))
     return F.when(named, found).otherwise("")

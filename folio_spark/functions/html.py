@@ -1,10 +1,4 @@
-"""Flat HTML extraction with native string functions.
-
-A page is split at the opening tags of the element wanted and each piece is cut at
-that element's end, so an omitted end tag behaves as in a browser. The container of
-a listing is closed by counting its own nested tags. Elements that nest inside
-themselves (a table in a table) are read as consecutive pieces.
-"""
+"""Markup with native string functions: visible text, character references, attributes, tag patterns."""
 
 from __future__ import annotations
 
@@ -77,52 +71,10 @@ def attributes(tag: Column, names: list[str]) -> Column:
     )
 
 
-def pieces(markup: Column, tags: str) -> Column:
-    """Pieces of markup that start at an opening tag of ``tags`` (``"li"``, ``"t[hd]"``)."""
-    start = rf"(?i)^<(?:{tags})\b"
-    return F.filter(F.split(markup, rf"(?i)(?=<(?:{tags})\b)"), lambda p: p.rlike(start))
-
-
-def until(piece: Column, end: str) -> Column:
-    """The piece up to the first closing tag matching ``end``."""
-    return F.get(F.split(piece, rf"(?i)</(?:{end})\s*>", 2), F.lit(0))
-
-
 def inner(piece: Column) -> Column:
     return F.regexp_replace(piece, r"^<[^>]*>", "")
 
 
-def elements(markup: Column, tags: str) -> Column:
-    return F.transform(pieces(markup, tags), lambda p: until(p, tags))
-
-
-def _balanced(rest: Column, tag: str) -> Column:
-    """Content of an already opened ``tag``, up to the end tag that matches it."""
-    opened, closed = rf"(?i)^<{tag}\b", rf"(?i)^</{tag}\b"
-
-    def close(parts: Column) -> Column:
-        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("kept"))
-
-        def step(acc: Column, p: Column) -> Column:
-            depth = acc["depth"] + F.when(p.rlike(opened), 1).when(p.rlike(closed), -1).otherwise(0)
-            done = (acc["depth"] <= 0) | (depth <= 0)
-            return F.struct(
-                F.when(done, 0).otherwise(depth).cast("int").alias("depth"),
-                F.when(done, acc["kept"]).otherwise(acc["kept"] + 1).cast("int").alias("kept"),
-            )
-
-        kept = F.aggregate(parts, start, step)["kept"]
-        return F.array_join(F.slice(parts, F.lit(1), kept), "")
-
-    return let(F.split(rest, rf"(?i)(?=<{tag}\b|</{tag}\s*>)"), close)
-
-
-def containers(markup: Column, open_tag: str, tag: str = "div") -> Column:
-    """Contents of every element whose opening tag matches ``open_tag``."""
-    split = F.split(markup, open_tag)
-    return F.transform(F.slice(split, F.lit(2), F.greatest(F.size(split) - 1, F.lit(0))), lambda r: _balanced(r, tag))
-
-
 def _class_attr(name: str) -> str:
     return (
         rf"\sclass\s*=\s*(?:\"(?:[^\">]*\s)?{name}(?:\s[^\">]*)?\"|"
@@ -137,29 +89,3 @@ def class_tag(tag: str, name: str) -> str:
 
 def id_tag(name: str) -> str:
     return rf"(?is)<[a-z][a-z0-9]*\b[^>]*\sid\s*=\s*[\"']?{name}[\"'\s>][^>]*>?"
-
-
-def by_class(markup: Column, name: str, tag: str = "[a-z][a-z0-9]*") -> Column:
-    """Contents of elements carrying a class, in page order (flat elements)."""
-    pattern = rf"(?is)<({tag})\b[^>]*{_class_attr(name)}[^>]*>(.*?)</\1\s*>"
-    found = F.regexp_extract_all(markup, F.lit(pattern), F.lit(2))
-    return F.when(markup.contains("class") & markup.contains(name), found).otherwise(F.array().cast("array<string>"))
-
-
-def by_tag(markup: Column, tag: str) -> Column:
-    return F.regexp_extract_all(markup, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
-
-
-def anchors(markup: Column) -> Column:
-    """array<struct<href, body>> of links, in page order."""
-    return F.transform(
-        pieces(markup, "a"),
-        lambda p: F.struct(
-            attribute(F.regexp_extract(p, r"^<[^>]*>", 0), "href").alias("href"), inner(until(p, "a")).alias("body")
-        ),
-    )
-
-
-def detail_anchors(markup: Column) -> Column:
-    """Links whose raw address names a data page."""
-    return F.filter(anchors(markup), lambda a: a["href"].contains("/data/") | a["href"].contains("/dataset/"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..functions import html as H
 from ..functions import text as X
+from ..functions import tree as T
 from ..functions import urls as U
 from ..session import durable
 from .numbering import number_rows
@@ -18,12 +19,31 @@ PAGINATION = rf"{H.class_tag('nav', 'pagination')}|{H.class_tag('div', 'paginati
 CARD_KEYS = ["org", "page_no", "list_url"]
 
 
-def _list_items(markup: Column, open_tag: str) -> Column:
-    """``li`` pieces inside a ``ul`` of every matching container."""
-    def items(box: Column) -> Column:
-        return H.elements(F.regexp_replace(box, r"(?is)^.*?(?=<ul\b)", ""), "li")
+def _list_items(t: Column, open_tag: str) -> Column:
+    """``li`` nodes inside a ``ul`` of every matching container, inner lists included."""
+    boxes = T.outermost(T.matching(t, t["nodes"], open_tag))
+    lists = F.flatten(F.transform(boxes, lambda b: T.outermost(T.tagged(T.below(t, b), "ul"))))
+    return F.flatten(F.transform(lists, lambda u: T.tagged(T.below(t, u), "li")))
 
-    return F.flatten(F.transform(H.containers(markup, open_tag), items))
+
+def _data_links(t: Column, nodes: Column) -> Column:
+    """array<struct<node, href>> of the links among ``nodes`` whose raw address names a data page."""
+    links = F.transform(T.tagged(nodes, "a"), lambda n: F.struct(n.alias("node"), H.attribute(T.start_tag(t, n), "href").alias("href")))
+    return F.filter(links, lambda a: a["href"].contains("/data/") | a["href"].contains("/dataset/"))
+
+
+def _title_node(t: Column, li: Column) -> Column:
+    """``span.title`` of a card, else any ``.title``; null if it has none."""
+    titled = T.matching(t, T.below(t, li), H.class_tag("[a-z][a-z0-9]*", "title"))
+    return X.let(titled, lambda held: F.coalesce(F.get(T.tagged(held, "span"), F.lit(0)), F.get(held, F.lit(0))))
+
+
+def _text_or_blank(t: Column, node: Column) -> Column:
+    return X.let(node, lambda n: F.when(n.isNull(), "").otherwise(T.text_of(t, n)))
+
+
+def _trees(pages: DataFrame) -> DataFrame:
+    return pages.select(*CARD_KEYS, T.tree(H.visible(F.col("html"))).alias("tree"))
 
 
 def _unique_links(items: Column) -> Column:
@@ -34,44 +54,40 @@ def _unique_links(items: Column) -> Column:
     )
 
 
-def _resolved(markup: Column, base: Column) -> Column:
-    return F.transform(
-        H.detail_anchors(markup),
-        lambda a: F.struct(U.absolute_url(base, a["href"]).alias("url"), a["body"].alias("body")),
-    )
+def _resolved(t: Column, nodes: Column, base: Column) -> Column:
+    """Links among ``nodes`` that lead to a data page, with their full addresses."""
+    full = F.transform(_data_links(t, nodes), lambda a: F.struct(a["node"].alias("node"), U.absolute_url(base, a["href"]).alias("url")))
+    return F.filter(full, lambda a: U.is_detail_url(a["url"]))
 
 
-def _page_items(markup: Column, base: Column) -> Column:
+def _page_items(t: Column, base: Column) -> Column:
     """Cards of a page; a page without any card gives all its data links instead."""
     def linked(li: Column) -> Column:
-        link = F.get(F.filter(_resolved(li, base), lambda a: U.is_detail_url(a["url"])), F.lit(0))
-        return X.let(link, lambda a: F.struct(li.alias("li"), a["url"].alias("url"), a["body"].alias("body")))
+        return X.let(F.get(_resolved(t, T.below(t, li), base), F.lit(0)), lambda a: F.struct(li.alias("li"), a["url"].alias("url"), a["node"].alias("link")))
 
-    cards = F.filter(F.transform(_list_items(markup, RESULT_LIST), linked), lambda i: i["url"].isNotNull())
+    cards = F.filter(F.transform(_list_items(t, RESULT_LIST), linked), lambda i: i["url"].isNotNull())
     loose = F.transform(
-        F.filter(_resolved(markup, base), lambda a: U.is_detail_url(a["url"])),
-        lambda a: F.struct(F.lit(None).cast("string").alias("li"), a["url"].alias("url"), a["body"].alias("body")),
+        _resolved(t, t["nodes"], base),
+        lambda a: F.struct(F.when(F.lit(False), a["node"]).alias("li"), a["url"].alias("url"), a["node"].alias("link")),
     )
     return X.let(cards, lambda c: F.when(F.size(c) > 0, c).otherwise(loose))
 
 
 def cards(pages: DataFrame) -> DataFrame:
     """One row per dataset card (B1), or per data link on pages without cards (B2)."""
-    items = pages.select(*CARD_KEYS, H.visible(F.col("html")).alias("markup")).select(
-        *CARD_KEYS, F.posexplode(_unique_links(_page_items(F.col("markup"), F.col("list_url")))).alias("pos", "item")
-    )
+    t = F.col("tree")
+
+    def read(i: Column) -> Column:
+        return F.struct(
+            i["url"].alias("url"), i["li"].isNotNull().alias("is_card"), _text_or_blank(t, i["li"]).alias("text"),
+            T.text_of(t, i["link"]).alias("anchor_text"),
+            F.when(i["li"].isNull(), "").otherwise(_text_or_blank(t, _title_node(t, i["li"]))).alias("title_text"),
+        )
+
+    found = _trees(pages).select(*CARD_KEYS, "tree", _unique_links(_page_items(t, F.col("list_url"))).alias("found"))
+    items = found.select(*CARD_KEYS, F.posexplode(F.transform("found", read)).alias("pos", "item"))
     parts = items.select(
-        *CARD_KEYS,
-        "pos",
-        F.col("item.url").alias("detail_url"),
-        F.col("item.li").isNotNull().alias("is_card"),
-        H.text_of(F.coalesce("item.li", F.lit(""))).alias("text"),
-        H.text_of(F.col("item.body")).alias("anchor_text"),
-        F.coalesce(
-            F.get(H.by_class(F.col("item.li"), "title", "span"), F.lit(0)),
-            F.get(H.by_class(F.col("item.li"), "title"), F.lit(0)),
-            F.lit(""),
-        ).alias("title_markup"),
+        *CARD_KEYS, "pos", F.col("item.url").alias("detail_url"), "item.is_card", "item.text", "item.anchor_text", "item.title_text"
     )
 
     def usable(c: Column) -> Column:
@@ -80,7 +96,7 @@ def cards(pages: DataFrame) -> DataFrame:
     titled = parts.select(
         "*",
         F.when(F.col("is_card"), usable(F.col("anchor_text"))).otherwise("").alias("t_anchor"),
-        F.when(F.col("is_card"), usable(H.text_of(F.col("title_markup")))).otherwise("").alias("t_title"),
+        F.when(F.col("is_card"), usable(F.col("title_text"))).otherwise("").alias("t_title"),
         F.when(F.col("is_card"), X.card_counts(F.col("text"))).alias("counts"),
     )
     named = titled.select(
@@ -110,39 +126,30 @@ def cards(pages: DataFrame) -> DataFrame:
 
 def _simple_cards(pages: DataFrame, portal_base: str, with_file_list: bool) -> DataFrame:
     """Cards of the counts and download walks: the first data link of a card decides."""
-    def items(markup: Column) -> Column:
-        main = _list_items(markup, RESULT_LIST)
+    t = F.col("tree")
+
+    def items() -> Column:
+        main = _list_items(t, RESULT_LIST)
         if not with_file_list:
             return main
-        return X.let(main, lambda m: F.when(F.size(m) > 0, m).otherwise(_list_items(markup, FILE_LIST)))
+        return X.let(main, lambda m: F.when(F.size(m) > 0, m).otherwise(_list_items(t, FILE_LIST)))
 
     def linked(li: Column) -> Column:
-        first = F.get(H.detail_anchors(li), F.lit(0))
+        first = F.get(_data_links(t, T.below(t, li)), F.lit(0))
         return X.let(
-            first,
-            lambda a: F.struct(li.alias("li"), U.absolute_url(F.lit(portal_base), a["href"]).alias("url"), a["body"].alias("body")),
+            first, lambda a: F.struct(li.alias("li"), U.absolute_url(F.lit(portal_base), a["href"]).alias("url"), a["node"].alias("link"))
         )
 
     def usable(i: Column) -> Column:
         return (i["url"] != "") & U.is_counts_url(i["url"])
 
-    kept = F.filter(F.transform(items(F.col("markup")), linked), usable)
-    rows = pages.select(*CARD_KEYS, H.visible(F.col("html")).alias("markup")).select(
-        *CARD_KEYS, F.posexplode(kept).alias("pos", "c")
-    )
-    return rows.select(
-        *CARD_KEYS,
-        "pos",
-        "c.li",
-        F.col("c.url").alias("detail_url"),
-        H.text_of(
-            F.coalesce(
-                F.get(H.by_class(F.col("c.li"), "title", "span"), F.lit(0)),
-                F.get(H.by_class(F.col("c.li"), "title"), F.lit(0)),
-                F.col("c.body"),
-            )
-        ).alias("raw_title"),
-    )
+    def read(i: Column) -> Column:
+        title = F.coalesce(_title_node(t, i["li"]), i["link"])
+        return F.struct(i["url"].alias("url"), T.text_of(t, i["li"]).alias("text"), _text_or_blank(t, title).alias("raw_title"))
+
+    found = _trees(pages).select(*CARD_KEYS, "tree", F.filter(F.transform(items(), linked), usable).alias("found"))
+    rows = found.select(*CARD_KEYS, F.posexplode(F.transform("found", read)).alias("pos", "c"))
+    return rows.select(*CARD_KEYS, "pos", "c.text", F.col("c.url").alias("detail_url"), "c.raw_title")
 
 
 def counts_cards(pages: DataFrame, portal_base: str) -> DataFrame:
@@ -152,7 +159,7 @@ def counts_cards(pages: DataFrame, portal_base: str) -> DataFrame:
         "page_no",
         "pos",
         X.clean_dataset_title(F.col("raw_title"), unwrap=False).alias("title"),
-        X.card_counts_int(H.text_of(F.col("li"))).alias("counts"),
+        X.card_counts_int(F.col("text")).alias("counts"),
         "detail_url",
         "list_url",
     )
@@ -176,19 +183,19 @@ def download_cards(pages: DataFrame, portal_base: str) -> DataFrame:
 
 def page_totals(pages: DataFrame, per_page: int = V.ORG_PAGE_SIZE) -> DataFrame:
     """Result count and page count announced by each listing page."""
-    base = pages.select(*CARD_KEYS, H.visible(F.col("html")).alias("markup")).select(
-        "*", H.text_of(F.col("markup")).alias("text")
-    )
+    t = F.col("tree")
+    base = _trees(pages).select("*", T.page_text(t).alias("text"))
     announced = X.first_filled(*[F.regexp_extract("text", X.rx(p), 1) for p in V.TOTAL_COUNT_PATTERNS])
-    links = H.pieces(F.get(H.containers(F.col("markup"), PAGINATION), F.lit(0)), "a")
+    first = F.get(T.matching(t, t["nodes"], PAGINATION), F.lit(0))
+    links = X.let(first, lambda n: F.when(n.isNotNull(), T.tagged(T.below(t, n), "a")))
 
-    def numbers(p: Column) -> Column:
-        clicks = H.attribute(F.regexp_extract(p, "^<[^>]*>", 0), "onclick")
-        shown = X.erase(H.text_of(H.until(p, "a")), r"\D")
+    def numbers(n: Column) -> Column:
+        clicks = H.attribute(T.start_tag(t, n), "onclick")
+        shown = X.erase(T.text_of(t, n), r"\D")
         return F.concat(F.array(shown), F.regexp_extract_all(clicks, F.lit(X.rx(r"\d+")), F.lit(0)))
 
     pages_seen = F.array_max(F.transform(F.flatten(F.transform(links, numbers)), lambda n: n.try_cast("long")))
-    has_item = (F.size(_list_items(F.col("markup"), RESULT_LIST)) > 0) | (F.size(H.detail_anchors(F.col("markup"))) > 0)
+    has_item = (F.size(_list_items(t, RESULT_LIST)) > 0) | (F.size(_data_links(t, t["nodes"])) > 0)
     facts = base.select(
         *CARD_KEYS,
         F.coalesce(F.replace(announced, F.lit(",")).try_cast("long"), F.lit(0).cast("long")).alias("announced"),

@@ -8,6 +8,7 @@ from .. import vocab as V
 from ..functions import detail_html as DH
 from ..functions import html as H
 from ..functions import text as X
+from ..functions import tree as T
 from ..operators import attempts as A
 from ..operators import detail as D
 from ..operators import fields as P
@@ -36,17 +37,17 @@ UNION ALL SELECT o_orderkey, 2, '등록일', {SHORT_DATE} FROM f
 UNION ALL SELECT o_orderkey, 3, '키워드', o_orderpriority FROM f
 UNION ALL SELECT o_orderkey, 4, '매체유형', o_orderstatus || ' &' FROM f""")
 def b7_b8_pairs(spark, sf_dir):
-    pages = M.order_facts(spark, sf_dir).select("o_orderkey", H.visible(M.th_td_table()).alias("markup"))
-    tables = pages.select("o_orderkey", DH.tables_with_headers(F.col("markup")).alias("tables"))
-    return pair_rows(tables, DH.table_pairs(F.col("tables")))
+    pages = M.order_facts(spark, sf_dir).select("o_orderkey", T.tree(H.visible(M.th_td_table())).alias("tree"))
+    tables = pages.select("*", DH.tables_with_headers(F.col("tree")).alias("tables"))
+    return pair_rows(tables, DH.table_pairs(F.col("tree"), F.col("tables")))
 
 
 @query("b9_dl_pairs", FACTS + """
 SELECT o_orderkey, CAST(0 AS BIGINT) AS ord, '전체 행' AS label, format('{:,}', total) || ' 건' AS value FROM f
 UNION ALL SELECT o_orderkey, 1, '업데이트 주기', o_orderpriority FROM f""")
 def b9_dl_pairs(spark, sf_dir):
-    pages = M.order_facts(spark, sf_dir).select("o_orderkey", H.visible(M.dl_list()).alias("markup"))
-    return pair_rows(pages, DH.dl_pairs(F.col("markup")))
+    pages = M.order_facts(spark, sf_dir).select("o_orderkey", T.tree(H.visible(M.dl_list())).alias("tree"))
+    return pair_rows(pages, DH.dl_pairs(F.col("tree")))
 
 
 BLOCK_SQL = """'파일데이터명 ' || c_name || '_' || o_orderkey || ' 분류체계 ' || c_mktsegment || ' - ' || o_orderstatus || ' 제공기관 ' || c_name
@@ -81,7 +82,8 @@ WITH l AS (SELECT l_orderkey, 'p' || l_partkey AS name, strftime(l_shipdate, '%Y
 
 @query("b12_b13_columns", LINES + "SELECT l_orderkey, seq, name, descr, dtype, length FROM l")
 def b12_b13_columns(spark, sf_dir):
-    pages = M.order_columns(spark, sf_dir).select("l_orderkey", DH.tables_with_headers(F.col("columns_html")).alias("tables"))
+    trees = M.order_columns(spark, sf_dir).select("l_orderkey", T.tree(F.col("columns_html")).alias("tree"))
+    pages = trees.select("l_orderkey", DH.tables_with_headers(F.col("tree")).alias("tables"))
     rows = pages.select("l_orderkey", F.posexplode(DH.column_rows(F.col("tables"))).alias("i", "r"))
     return rows.select("l_orderkey", (F.col("i") + 1).cast("long").alias("seq"), "r.*")
 
@@ -104,7 +106,8 @@ def b12_header_kinds(spark, sf_dir):
         M.row(("td", F.col("p_name")), ("td", F.col("p_type"))),
         "</table>",
     )
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.get(DH.table_rows(table_html), F.lit(0)).alias("rows"))
+    trees = table(spark, sf_dir, "part").select("p_partkey", T.tree(table_html).alias("tree"))
+    rows = trees.select("p_partkey", F.get(DH.table_rows(F.col("tree")), F.lit(0)).alias("rows"))
     h = DH.column_header(F.col("rows"))
     keys = ("row", "name", "descr", "dtype", "length")
     return rows.select("p_partkey", h.alias("h")).select(
@@ -116,7 +119,8 @@ def b12_header_kinds(spark, sf_dir):
 , d AS (SELECT l_orderkey, name, min(seq) AS first_seq FROM l GROUP BY ALL)
 SELECT l_orderkey, string_agg(name, ', ' ORDER BY first_seq) AS column_list FROM d GROUP BY 1""")
 def c14_column_list(spark, sf_dir):
-    pages = M.order_columns(spark, sf_dir).select("l_orderkey", DH.tables_with_headers(F.col("columns_html")).alias("tables"))
+    trees = M.order_columns(spark, sf_dir).select("l_orderkey", T.tree(F.col("columns_html")).alias("tree"))
+    pages = trees.select("l_orderkey", DH.tables_with_headers(F.col("tree")).alias("tables"))
     return pages.select("l_orderkey", DH.column_rows(F.col("tables")).alias("c")).select(
         "l_orderkey", DH.column_list(F.col("c")).alias("column_list")
     )
@@ -130,7 +134,8 @@ FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
 def c13_c15_column_output(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     pages = orders.join(M.order_columns(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    tables = pages.select("o_orderkey", DH.tables_with_headers(H.visible(F.col("columns_html"))).alias("tables"))
+    trees = pages.select("o_orderkey", T.tree(H.visible(F.col("columns_html"))).alias("tree"))
+    tables = trees.select("o_orderkey", DH.tables_with_headers(F.col("tree")).alias("tables"))
     rows = tables.select(
         M.cat("order ", F.col("o_orderkey").cast("string")).alias("dataset_name"),
         M.cat("u", F.col("o_orderkey").cast("string")).alias("detail_url"),
@@ -180,8 +185,8 @@ WITH w AS (SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1
 h AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, '(?i){V.TITLE_BADGES}', ''), '(?i)\\bnew\\b', '', 'g')) AS t FROM w)
 SELECT page_id, CASE WHEN contains(t, '_') OR length(t) > 10 THEN t ELSE 'fallback' END AS title FROM h""")
 def b14_title(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", H.visible(F.col("html")).alias("markup"))
-    return pages.select("page_id", DH.detail_title(DH.page_title(F.col("markup")), F.lit("fallback")).alias("title"))
+    pages = table(spark, sf_dir, "pages").select("page_id", T.tree(H.visible(F.col("html"))).alias("tree"))
+    return pages.select("page_id", DH.detail_title(DH.page_title(F.col("tree")), F.lit("fallback")).alias("title"))
 
 
 @query("b14_title_order", """
@@ -196,7 +201,8 @@ def b14_title_order(spark, sf_dir):
         .when(size <= 40, M.cat("<head><title>head_", key, "</title></head><h1>회원가입</h1>"))
         .otherwise(F.lit("<h1>회원가입</h1><h2>short</h2>"))
     )
-    return table(spark, sf_dir, "part").select("p_partkey", DH.detail_title(DH.page_title(html), F.col("p_type")).alias("title"))
+    trees = table(spark, sf_dir, "part").select("p_partkey", "p_type", T.tree(html).alias("tree"))
+    return trees.select("p_partkey", DH.detail_title(DH.page_title(F.col("tree")), F.col("p_type")).alias("title"))
 
 
 @query("b15_phone", """
@@ -213,14 +219,14 @@ def b15_phone(spark, sf_dir):
         F.when(nation < 4, M.cat("<table>", M.row(("th", label), ("th", "x"), ("td", M.cat("<i>02)", last4, "-1111</i>"))), "</table>"))
         .when(nation < 8, M.cat("<table>", M.row(("th", label), ("td", M.cat("<span id=t></span><script>$('#t').text('031-222-", last4, "')</script>"))), "</table>"))
         .when(nation < 12, M.cat("<table>", M.row(("th", label), ("td", "<span></span>")), "</table><p>대표 1566-0025</p>"))
-        .when(nation < 16, M.cat("<div><strong>", label, "</strong><em data-tel='051 333 ", last4, "'></em></div>"))
+        .when(nation < 16, M.cat("<div><strong>", label, "</strong><i><em data-tel='051 333 ", last4, "'></em></i></div>"))
         .when(nation < 20, M.cat("<p>파일데이터명 a 분류체계 b 제공기관 c ", label, ": 042.444.", last4, " 보유근거 없음</p>"))
         .when(nation < 23, M.cat("<dl><dt>담당부서 전화번호<dd>관리기관 1566-0025</dl>"))
         .otherwise(M.cat("<div><b>", label, "</b><b>", F.col("c_mktsegment"), "</b><b>보유근거</b><b>02-1-1</b></div>"))
     )
-    pages = table(spark, sf_dir, "customer").select("c_custkey", H.visible(html).alias("markup"))
-    texts = pages.select("*", DH.text_block(H.text_of(F.col("markup"))).alias("block"))
-    return texts.select("c_custkey", DH.department_phone(F.col("markup"), F.col("block")).alias("phone"))
+    pages = table(spark, sf_dir, "customer").select("c_custkey", T.tree(H.visible(html)).alias("tree"))
+    texts = pages.select("*", DH.text_block(T.page_text(F.col("tree"))).alias("block"))
+    return texts.select("c_custkey", DH.department_phone(F.col("tree"), F.col("block")).alias("phone"))
 
 
 @query("b16_download_count", """

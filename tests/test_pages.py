@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from folio_spark import vocab as V
 from folio_spark.functions import detail_html as D
 from folio_spark.functions import html as H
+from folio_spark.functions import tree as T
 from folio_spark.operators import detail as DT
 from folio_spark.operators import listing as L
 from folio_spark.operators.attempts import fail_rows
@@ -17,6 +18,11 @@ def one(spark, html, rule):
     return spark.createDataFrame([(html,)], "h string").select(rule(F.col("h")).alias("x")).first().x
 
 
+def in_tree(spark, html, rule):
+    trees = spark.createDataFrame([(html,)], "h string").select(T.tree(H.visible(F.col("h"))).alias("t"))
+    return trees.select(rule(F.col("t")).alias("x")).first().x
+
+
 def text(spark, html):
     return one(spark, html, lambda h: H.text_of(H.visible(h)))
 
@@ -29,8 +35,8 @@ def test_text_drops_hidden_parts(spark):
 
 def test_container_ends_at_its_own_tag(spark):
     html = '<div class="x result-list"><div>i</div><ul><li>1</li><li>2<ul></ul></div><ul><li>3</li></ul>'
-    got = one(spark, html, lambda h: L._list_items(h, L.RESULT_LIST))
-    assert [g.split(">")[-1] or g for g in got][0] == "1" and len(got) == 2
+    got = in_tree(spark, html, lambda t: F.transform(L._list_items(t, L.RESULT_LIST), lambda n: T.text_of(t, n)))
+    assert got == ["1", "2"]
 
 
 def test_cards_titles_and_fallback(spark):
@@ -62,7 +68,7 @@ def test_counts_use_file_list_when_no_result_list(spark):
 
 
 def pairs(spark, html):
-    return [tuple(p) for p in one(spark, html, lambda h: D.table_pairs(D.tables_with_headers(H.visible(h))))]
+    return [tuple(p) for p in in_tree(spark, html, lambda t: D.table_pairs(t, D.tables_with_headers(t)))]
 
 
 def test_table_pairs(spark):
@@ -78,7 +84,7 @@ def test_column_rows(spark):
         "<table><tr><th>항목명</th><th>항목 설명</th></tr><tr><td>정보시스템명</td><td>DB명</td><td>Table명</td></tr>"
         "<tr><td>a</td><td>d</td></tr><tr><td>b</td></tr><tr><td>설명</td><td>x</td></tr><tr></tr></table>"
     )
-    got = one(spark, html, lambda h: D.column_rows(D.tables_with_headers(h)))
+    got = in_tree(spark, html, lambda t: D.column_rows(D.tables_with_headers(t)))
     assert [tuple(r) for r in got] == [("a", "d", "", "")]
 
 
@@ -115,5 +121,5 @@ def test_full_details_keep_invalid_and_missing(spark):
 
 def test_department_phone_empty_cell_ends_search(spark):
     html = "<table><tr><th>관리부서 전화번호</th><td> </td></tr></table><b>관리부서 전화번호</b><i>02-111-2222</i>"
-    assert one(spark, html, lambda h: D.department_phone(h, F.lit(""))) == ""
-    assert one(spark, html.split("</table>")[1], lambda h: D.department_phone(h, F.lit(""))) == "02-111-2222"
+    assert in_tree(spark, html, lambda t: D.department_phone(t, F.lit(""))) == ""
+    assert in_tree(spark, html.split("</table>")[1], lambda t: D.department_phone(t, F.lit(""))) == "02-111-2222"
