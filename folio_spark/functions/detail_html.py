@@ -338,7 +338,7 @@ def _walk(t: Column, nodes: Column, label: Column | None) -> Column:
     return F.aggregate(nodes, F.struct(F.lit(False).alias("done"), F.lit(None).cast("string").alias("found"), F.lit("").alias("parts")), step)
 
 
-def _free_label_value(t: Column, ahead: int = V.PHONE_LOOKAHEAD_TAGS) -> Column:
+def _free_label_value(t: Column, ahead: int) -> Column:
     """What follows the first stand-alone phone label that leads anywhere; null if none does.
 
     First the elements behind the label inside its parent, then the next ``ahead`` elements of the
@@ -358,8 +358,11 @@ def _free_label_value(t: Column, ahead: int = V.PHONE_LOOKAHEAD_TAGS) -> Column:
     return F.aggregate(_phone_labels(t), start, lambda held, x: F.coalesce(held, beside(x["node"]), behind(x["node"], x["text"])))
 
 
-def department_phone(t: Column, block: Column) -> Column:
-    """Phone of the managing department (B15); a label with an empty cell ends the search."""
+def department_phone(t: Column, block: Column, ahead: int = V.PHONE_LOOKAHEAD_TAGS) -> Column:
+    """Phone of the managing department (B15); a label with an empty cell ends the search.
+
+    Behind a free-standing label the next ``ahead`` elements are read, the portal's rule.
+    """
     def of_cell(n: Column) -> Column:
         def value(text: Column) -> Column:
             plain = F.when(X.is_portal_phone(text), "").otherwise(text)
@@ -370,7 +373,7 @@ def department_phone(t: Column, block: Column) -> Column:
     def in_block(b: Column) -> Column:
         return X.let(X.phone_after_label(b), lambda v: F.when(X.is_portal_phone(v), "").otherwise(v))
 
-    loose = F.coalesce(_free_label_value(t), in_block(block))
+    loose = F.coalesce(_free_label_value(t, ahead), in_block(block))
     named = T.page_text(t).rlike(X.rx(V.PHONE_LABEL_PATTERN)) | block.rlike(X.rx(V.PHONE_LABEL_PATTERN))
     found = X.let(_labelled_cell(t), lambda n: F.when(n.isNotNull(), of_cell(n)).otherwise(loose))
     return F.when(named, found).otherwise("")
