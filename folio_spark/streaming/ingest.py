@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from .. import schemas as S
 from ..operators import attempts as A
 from ..operators import detail as D
 from ..operators.merge import keep_last
 from ..operators.telemetry import LIST_CAP, log_steps
+from ..plans.metadata import RunResult
 from ..session import durable
 from ..sources.tables import align
+from . import commits
 
 
 def page_stream(spark: SparkSession, glob: str, schema: StructType = S.DETAIL_PAGES, files_per_batch: int = 1000) -> DataFrame:
@@ -24,28 +26,98 @@ def page_stream(spark: SparkSession, glob: str, schema: StructType = S.DETAIL_PA
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(glob)
 
 
-def ingest_details(pages: DataFrame, items: DataFrame, portal_base: str, out: str, checkpoint: str, source_label: str = ""):
-    """Turn arriving pages into metadata rows, batch by batch.
-
-    Each batch owns one ``batch_id=`` folder and overwrites only that, so a replayed batch
-    leaves no second copy. Rows carry the rank of the address that answered, so that
-    :func:`current_metadata` can prefer an item's own address whenever its page arrives; nothing
-    already written is rewritten as the table grows.
+KEYS = [StructField("item_url", StringType()), StructField("row_id", LongType()), StructField("version", LongType())]
+TABLES = {
+    "metadata": StructType(S.METADATA.fields + [StructField("answered_rank", IntegerType())] + KEYS),
+    "columns": StructType(S.COLUMNS.fields + KEYS),
+    "fails": StructType(S.FAILS.fields + KEYS),
+}
+
+
+def one_answer(parsed: DataFrame) -> DataFrame:
+    """One row per address of a batch: a usable response before an unusable one, ties by content."""
+    value = F.struct(*[c for c in parsed.columns if c != "url"])
+    order = F.struct(F.col("error").isNotNull(), F.xxhash64(value))
+    return parsed.groupBy("url").agg(F.min_by(value, order).alias("v")).select("url", "v.*")
+
+
+def batch_tables(pages: DataFrame, items: DataFrame, portal_base: str, collected_at: str | Column, source_label: str = "") -> dict[str, DataFrame]:
+    """Metadata, column and fail rows of the items that a batch of pages answers."""
+    chosen = A.choose_response(items, durable(one_answer(D.parse_pages(pages))), portal_base, how="inner")
+    # Numbered when cut, so that a row and its columns share the number for good.
+    found, missed = A.split_chosen(durable(chosen.select("*", F.col("detail_url").alias("item_url"), F.monotonically_increasing_id().alias("row_id"))))
+    key = ("item_url", "row_id")
+    rows = D.metadata_rows(found, source_label, keep=("answered_rank", *key))
+    return {
+        "metadata": rows.drop("columns"),
+        "columns": D.column_output(rows, keep=key),
+        "fails": A.fail_rows(missed, F.col("stage"), collected_at, keep=key),
+    }
+
+
+def ingest_batch(
+    pages: DataFrame, items: DataFrame, portal_base: str, out: str, stream: str, batch_id: int, collected_at: str | Column | None = None,
+    source_label: str = "",
+) -> None:
+    """Commit one batch to the three tables; one that is committed already changes nothing."""
+    spark = pages.sparkSession
+    if not commits.done(spark, out, stream, batch_id):
+        at = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss") if collected_at is None else collected_at
+        commits.append(spark, out, batch_tables(pages, items, portal_base, at, source_label), stream, batch_id)
+
+
+def ingest_details(
+    pages: DataFrame, items: DataFrame, portal_base: str, out: str, checkpoint: str, source_label: str = "", collected_at: str | Column | None = None
+):
+    """Turn arriving pages into metadata, column and fail rows, batch by batch.
+
+    The three tables of a batch are committed together (``commits``): a batch that fails on the
+    way leaves nothing to read, a replayed one no second copy. Rows carry the rank of the address
+    that answered, so that :func:`current_tables` can prefer an item's own address whenever its
+    page arrives; nothing already written is rewritten as the tables grow, until :func:`compact`.
+    A new checkpoint is a new stream, so its batches are added to those of earlier streams.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = durable(D.parse_pages(batch))
-        chosen = A.choose_response(items, parsed, portal_base, how="inner")
-        rows = D.metadata_rows(A.split_chosen(chosen)[0], source_label, keep=("answered_rank",)).drop("columns")
-        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        ingest_batch(batch, items, portal_base, out, stream, batch_id, collected_at, source_label)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _current(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The rows that count now, with their keys.
+
+    Metadata: one row per address, the lowest candidate rank, of it the latest commit (C7). Columns:
+    those of that row. Fails: the latest one of each address that has no metadata row.
+    """
+    found, columns, fails = [commits.read(spark, out, n, s) for n, s in TABLES.items()]
+    ranked = found.withColumn("_nearer", -F.col("answered_rank"))
+    metadata = keep_last(ranked, ["item_url"], ["_nearer", "version", "seq", "row_id"]).select(*found.columns)
+    return {
+        "metadata": metadata,
+        "columns": columns.join(metadata.select("version", "row_id"), ["version", "row_id"], "left_semi").select(*columns.columns),
+        "fails": keep_last(fails, ["item_url"], ["version", "row_id"]).join(metadata.select("item_url"), "item_url", "left_anti").select(*fails.columns),
+    }
+
+
+def current_tables(spark: SparkSession, out: str) -> RunResult:
+    """Metadata, columns and fails over all committed batches, as a full run gives them."""
+    rows = _current(spark, out)
+    return RunResult(align(rows["metadata"], S.METADATA), align(rows["columns"], S.COLUMNS), align(rows["fails"], S.FAILS))
+
+
 def current_metadata(spark: SparkSession, out: str) -> DataFrame:
-    """One row per address over all batches: the lowest candidate rank, of it the latest page."""
-    rows = spark.read.schema(StructType(list(S.METADATA.fields)).add("answered_rank", "integer").add("batch_id", "long")).parquet(out)
-    ranked = rows.withColumn("_nearer", -F.col("answered_rank"))
-    return align(keep_last(ranked, ["detail_url"], ["_nearer", "batch_id", "seq"]), S.METADATA)
+    """The metadata rows of :func:`current_tables`."""
+    return current_tables(spark, out).metadata
+
+
+def compact(spark: SparkSession, out: str) -> None:
+    """One folder per table with the rows that count, in place of one for every batch.
+
+    What is left out can never count again: a lower rank or a later commit stays ahead. Replaced
+    folders stay for readers until ``commits.vacuum``.
+    """
+    commits.replace(spark, out, _current(spark, out))
 
 
 def seen_urls(urls: DataFrame, out: str, checkpoint: str):

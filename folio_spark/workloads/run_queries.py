@@ -16,7 +16,7 @@ from ..operators.numbering import number_rows
 from ..plans.metadata import collect_details, full_run, org_report, retry_run
 from ..session import shared_dir
 from ..sources import tables as B
-from ..streaming import ingest
+from ..streaming import commits, ingest
 from . import markup as M
 from .detail_queries import DETAIL_SQL, LINE_KEY, line_key
 from .registry import PORTAL, query, stored, table
@@ -516,6 +516,40 @@ def e1_ingest(spark, sf_dir):
     return ingest.current_metadata(spark, f"{out}/rows").select("seq", "detail_url", "dataset_name", "views", "source_label")
 
 
+@query("e1_three_tables", DETAIL_SQL + """,
+m AS (SELECT seq - 1 AS k, dataset_name, column_list, detail_url, data_limit <> '' AS bad, (seq - 1) % 7 = 0 AND (seq - 1) % 14 <> 0 AS lost FROM metadata)
+SELECT 'metadata' AS kind, detail_url AS url, dataset_name AS name, column_list AS detail FROM m WHERE NOT lost
+UNION ALL SELECT 'columns', CASE WHEN l.name IS NULL THEN '' ELSE detail_url END, dataset_name, coalesce(l.seq || ' ' || l.name || ' ' || l.descr || ' ' || l.dtype || ' ' || l.length, '    ')
+  FROM m LEFT JOIN l ON l_orderkey = k AND NOT bad WHERE NOT lost
+UNION ALL SELECT 'fail', detail_url, CASE WHEN k % 3 = 0 THEN 'deferred_saved_only' ELSE 'fetch_detail_httpx' END,
+  'HTTP status=' || CASE WHEN k % 3 = 0 THEN '429' ELSE '503' END || ', url=' || detail_url FROM m WHERE lost""")
+def e1_three_tables(spark, sf_dir):
+    """Every seventh page comes as an error first, every fourteenth again as it should; a batch
+    that died before its commit, a replayed batch and a compaction leave the tables as they are."""
+    pages = M.order_pages(spark, sf_dir)
+    key = F.col("o_orderkey")
+    bad = F.when(key % 7 == 0, F.when(key % 3 == 0, 429).otherwise(503)).otherwise(F.col("status"))
+    out = scratch(spark, "three")
+    first = pages.select("url", bad.alias("status"), "html", (key % 4).alias("part"))
+    first.unionByName(pages.where(key % 14 == 0).select("url", "status", "html", F.lit(4).alias("part"))).write.partitionBy("part").parquet(f"{out}/pages")
+    arriving = ingest.page_stream(spark, f"{out}/pages/part=*", files_per_batch=24)
+    items = M.order_items(spark, sf_dir)
+    once = spark.read.schema(S.DETAIL_PAGES).parquet(f"{out}/pages/part=0")
+    at = "2024-01-01 00:00:00"
+    commits.stage(ingest.batch_tables(once, items, PORTAL, at), f"{out}/tables", 1)  # no commit follows
+    run = ingest.ingest_details(arriving, items, PORTAL, f"{out}/tables", f"{out}/state", collected_at=at)
+    run.awaitTermination()
+    ingest.ingest_batch(once, items, PORTAL, f"{out}/tables", str(run.id), 0, at)
+    ingest.compact(spark, f"{out}/tables")
+    now = ingest.current_tables(spark, f"{out}/tables")
+    c = F.col
+    return (
+        now.metadata.select(F.lit("metadata").alias("kind"), c("detail_url").alias("url"), c("dataset_name").alias("name"), c("column_list").alias("detail"))
+        .unionByName(now.columns.select(F.lit("columns").alias("kind"), c("detail_url").alias("url"), c("dataset_name").alias("name"), F.concat_ws(" ", "seq_in_page", "name", "descr", "dtype", "length").alias("detail")))
+        .unionByName(now.fails.select(F.lit("fail").alias("kind"), "url", c("stage").alias("name"), c("error").alias("detail")))
+    )
+
+
 @query("e2_seen", "SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS detail_url FROM pages")
 def e2_seen(spark, sf_dir):
     raw = ingest.page_stream(spark, f"{sf_dir}/pages*.parquet", table(spark, sf_dir, "pages").schema)
