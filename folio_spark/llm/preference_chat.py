@@ -83,21 +83,23 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     return held.drop("_a", "_b")
 
 
-def with_swapped_answers(messages: DataFrame) -> DataFrame:
-    """(conv_id, chosen, rejected): conversations up to their last assistant turn, against the same
-    with that turn's text taken from the last assistant turn of conversation ``conv_id + 1`` (empty
-    if there is none). Conversations without an assistant turn make no pair.
+def with_other_tails(messages: DataFrame) -> DataFrame:
+    """(conv_id, chosen, rejected): each conversation, against its own head with another one's tail.
+
+    The conversations part after ``md5(conv_id) mod turns`` turns, so at any turn of theirs and before
+    the last one's end; from there on ``rejected`` goes on as conversation ``conv_id + 1`` does after
+    as many turns, and ends where that one is missing or has no more. Every conversation makes one
+    pair, and both sides keep all their turns. The tails may begin alike; :func:`format_pairs` finds
+    where the sides really part.
     """
     whole = turns(messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"))
-    answers = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED_ROLE, i + 1)), lambda i: i.isNotNull())
-    held = whole.withColumn("last", F.coalesce(F.array_max(answers), F.lit(0))).where("last > 0")
-    held = held.select("conv_id", F.slice("turns", F.lit(1), F.col("last")).alias("chosen"))
-    answer = F.element_at("chosen", -1)
-    other = held.select((F.col("conv_id") - 1).alias("_before"), F.coalesce(answer["text"], F.lit("")).alias("_other"))
+    drawn = F.conv(F.substring(F.md5(F.col("conv_id").cast("string")), 1, 8), 16, 10).cast("long")
+    held = whole.select("conv_id", F.col("turns").alias("chosen"), (drawn % F.size("turns")).cast("int").alias("_shared"))
+    other = whole.select((F.col("conv_id") - 1).alias("_before"), F.col("turns").alias("_other"))
     met = held.join(other, held["conv_id"] == other["_before"], "left")
-    swapped = F.struct(answer["turn"].alias("turn"), answer["role"].alias("role"), F.coalesce("_other", F.lit("")).alias("text"))
-    before = F.slice("chosen", F.lit(1), F.size("chosen") - 1)
-    return met.select("conv_id", "chosen", F.concat(before, F.array(swapped)).alias("rejected"))
+    shared = F.col("_shared")
+    tail = F.coalesce(F.slice("_other", shared + 1, F.size("_other")), F.slice("chosen", F.lit(1), F.lit(0)))
+    return met.select("conv_id", "chosen", F.concat(F.slice("chosen", F.lit(1), shared), tail).alias("rejected"))
 
 
 def op9_preference(messages: DataFrame) -> DataFrame:
@@ -106,31 +108,33 @@ def op9_preference(messages: DataFrame) -> DataFrame:
     def spans(name: str) -> Column:
         return F.array_join(F.transform(name, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",").alias(name)
 
-    out = format_pairs(with_swapped_answers(messages))
+    out = format_pairs(with_other_tails(messages))
     return out.select("conv_id", "prompt_turns", "prompt", "chosen", "rejected", spans("chosen_spans"), spans("rejected_spans"))
 
 
 OP9_SQL = """
 WITH said AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM said),
-ends AS (SELECT conv_id, max(i) AS last FROM numbered WHERE role = 'assistant' GROUP BY conv_id),
-answers AS (SELECT n.conv_id, coalesce(n.text, '') AS answer FROM numbered n JOIN ends e ON n.conv_id = e.conv_id AND n.i = e.last),
-sides AS (
-  SELECT n.conv_id, n.i, n.role, coalesce(n.text, '') AS chosen,
-    CASE WHEN n.i = e.last THEN coalesce(a.answer, '') ELSE coalesce(n.text, '') END AS rejected, e.last, n.text AS raw
-  FROM numbered n JOIN ends e USING (conv_id) LEFT JOIN answers a ON a.conv_id = n.conv_id + 1 WHERE n.i <= e.last),
-shared AS (
-  SELECT conv_id, (CASE WHEN max(CASE WHEN i = last THEN (raw IS NOT NULL AND chosen = rejected)::INT END) = 1 THEN max(last) ELSE max(last) - 1 END)::INT
-    AS prompt_turns FROM sides GROUP BY conv_id),
+cuts AS (SELECT conv_id, count(*) AS n, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS BIGINT) % count(*) AS d FROM said GROUP BY conv_id),
+chosen AS (SELECT conv_id, i, role, text FROM numbered),
+rejected AS (
+  SELECT conv_id, i, role, text FROM numbered JOIN cuts USING (conv_id) WHERE i <= d
+  UNION ALL SELECT c.conv_id, o.i, o.role, o.text FROM cuts c JOIN numbered o ON o.conv_id = c.conv_id + 1 AND o.i > c.d),
+parted AS (
+  SELECT conv_id, min(i) AS first FROM chosen c FULL JOIN rejected r USING (conv_id, i)
+  WHERE c.text IS DISTINCT FROM r.text OR c.role IS DISTINCT FROM r.role OR (c.conv_id IS NULL) <> (r.conv_id IS NULL) GROUP BY conv_id),
+shared AS (SELECT conv_id, CAST(coalesce(first - 1, n) AS INT) AS prompt_turns FROM cuts LEFT JOIN parted USING (conv_id)),
 drawn AS (
-  SELECT s.*, prompt_turns, '<|im_start|>' || coalesce(role, '') || chr(10) AS head FROM sides s JOIN shared USING (conv_id)),
-spans AS (
-  SELECT *, length(head) AS begins, length(head) + length(chosen) + 10 AS c_stop, length(head) + length(rejected) + 10 AS r_stop FROM drawn WHERE i > prompt_turns)
-SELECT d.conv_id, d.prompt_turns,
-  coalesce(string_agg(head || chosen || '<|im_end|>' || chr(10), '' ORDER BY i) FILTER (i <= d.prompt_turns), '') AS prompt,
-  coalesce(string_agg(head || chosen || '<|im_end|>' || chr(10), '' ORDER BY i) FILTER (i > d.prompt_turns), '') AS chosen,
-  coalesce(string_agg(head || rejected || '<|im_end|>' || chr(10), '' ORDER BY i) FILTER (i > d.prompt_turns), '') AS rejected,
-  coalesce((SELECT string_agg(begins || '-' || c_stop, ',') FROM spans p WHERE p.conv_id = d.conv_id), '') AS chosen_spans,
-  coalesce((SELECT string_agg(begins || '-' || r_stop, ',') FROM spans p WHERE p.conv_id = d.conv_id), '') AS rejected_spans
-FROM drawn d GROUP BY d.conv_id, d.prompt_turns
+  SELECT side, conv_id, i, prompt_turns, role, '<|im_start|>' || coalesce(role, '') || chr(10) AS head, coalesce(text, '') || '<|im_end|>' AS body
+  FROM (SELECT 'chosen' AS side, * FROM chosen UNION ALL SELECT 'rejected', * FROM rejected) JOIN shared USING (conv_id)),
+placed AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY side, conv_id, i > prompt_turns ORDER BY i) - length(body) - 1 AS begins FROM drawn),
+made AS (
+  SELECT side, conv_id, string_agg(head || body || chr(10), '' ORDER BY i) FILTER (i <= prompt_turns) AS prompt,
+    string_agg(head || body || chr(10), '' ORDER BY i) FILTER (i > prompt_turns) AS completion,
+    string_agg(CAST(begins AS BIGINT) || '-' || CAST(begins + length(body) AS BIGINT), ',' ORDER BY i) FILTER (i > prompt_turns AND role = 'assistant') AS spans
+  FROM placed GROUP BY side, conv_id)
+SELECT s.conv_id, s.prompt_turns, coalesce(c.prompt, '') AS prompt, coalesce(c.completion, '') AS chosen, coalesce(r.completion, '') AS rejected,
+  coalesce(c.spans, '') AS chosen_spans, coalesce(r.spans, '') AS rejected_spans
+FROM shared s LEFT JOIN made c ON c.conv_id = s.conv_id AND c.side = 'chosen' LEFT JOIN made r ON r.conv_id = s.conv_id AND r.side = 'rejected'
 """

@@ -1,5 +1,6 @@
 """Preference formatting and Poisson mixing: literal loops, odd rows, and plans without Python."""
 
+import hashlib
 import math
 import random
 
@@ -54,17 +55,41 @@ def test_format_pairs(spark):
             assert all(text[x:y].endswith("<|im_end|>") for x, y in spans)
 
 
+def parted(said):
+    """conv_id -> (chosen, rejected) as lists of (role, text), by a literal loop."""
+    whole = {}
+    for conv in {r[0] for r in said if r[0] is not None}:
+        own = sorted({r[1:] for r in said if r[0] == conv}, key=lambda t: tuple((x is not None, x) for x in t))
+        whole[conv] = [t[1:] for t in own]
+    pairs = {}
+    for conv, own in whole.items():
+        at = int(hashlib.md5(str(conv).encode()).hexdigest()[:8], 16) % len(own)
+        pairs[conv] = own, own[:at] + whole.get(conv + 1, [])[at:]
+    return pairs
+
+
 def test_conversations(spark):
-    said = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (1, 2, "user", "left out"), (2, 0, "user", "q2"), (2, 1, "assistant", None), (3, 0, "user", "no answer")]
-    said += [(2, 1, "assistant", None), (None, 0, "assistant", "nobody's"), (5, None, "system", "first"), (5, 7, "assistant", "same"), (6, 0, "assistant", "same")]
+    said = [(1, 0, "user", "q"), (1, 1, "assistant", "a1"), (1, 2, "user", "kept too"), (2, 0, "user", "q2"), (2, 1, "assistant", None), (3, 0, "user", "no answer")]
+    said += [(2, 1, "assistant", None), (None, 0, "assistant", "nobody's"), (5, None, "system", "first"), (5, 7, "assistant", "same"), (6, 0, None, "same")]
+    rng = random.Random(8)
+    for conv in range(20, 90):
+        said += [(conv, i, rng.choice(["user", "assistant", None]), rng.choice(["same", "", None, f"t{conv}", "y\n" * 9])) for i in range(rng.randrange(1, 9))]
+    said += [(200, i, "assistant", "long " * 60_000) for i in range(4)] + [(201, i, "assistant", "long " * 60_000 + str(i // 3)) for i in range(4)]
     df = spark.createDataFrame([(*r, "extra") for r in said], "conv_id long, turn long, role string, text string, prompt string")
     out = C.op9_preference(df)
     assert "Python" not in plan(out) and "Arrow" not in plan(out)
     got = {r.conv_id: r for r in out.collect()}
-    assert set(got) == {1, 2, 5, 6}
-    assert got[1].prompt == "<|im_start|>user\nq<|im_end|>\n" and got[1].chosen == "<|im_start|>assistant\na1<|im_end|>\n"
-    assert got[1].rejected == "<|im_start|>assistant\n<|im_end|>\n" and got[1].chosen_spans == "22-34"
-    assert got[5].chosen == got[5].rejected == "" and got[5].prompt_turns == 2  # equal answers leave nothing to prefer
+    pairs = parted(said)
+    assert set(got) == set(pairs) and len({r.prompt_turns for r in got.values()}) > 4
+    for conv, (a, b) in pairs.items():
+        n, r = 0, got[conv]
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        assert r.prompt_turns == n and r.prompt == rendered(a[:n])[0]
+        for name, side in (("chosen", a), ("rejected", b)):
+            text, spans = rendered(side[n:])
+            assert r[name] == text and r[f"{name}_spans"] == ",".join(f"{x}-{y}" for x, y in spans)
+    assert any("," in r.rejected_spans for r in got.values())
     assert C.op9_preference(df.limit(0)).count() == 0
 
 
