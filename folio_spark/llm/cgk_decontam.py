@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_EDITS = 0.2  # of an item's words
-MIN_WORDS = 5  # shorter items are phrases that any text may hold, and are not searched
+MIN_WORDS = 5  # shorter items are phrases that any text may hold; they leak where they are the whole text
 WALKS, KEYS_PER_WALK, PLACES = 6, 16, 3  # embeddings, keys sampled from each, places in a key
 ITEMS_PER_BLOCK = 20_000  # items sent to every task at once; more are taken in turns
 BLOCK_WORDS = 1 << 20
@@ -172,9 +172,13 @@ def prepared(items: list[tuple[int, str]], share: float = MAX_EDITS, runs: bool
     """
     vocabulary: dict[str, int] = {}
     by_size = defaultdict(list)
+    short: dict[tuple[str, ...], set[int]] = defaultdict(set)
     for item_id, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-        if len(ids) >= MIN_WORDS:
+        if 0 < len(own := words_of(text)) < MIN_WORDS:
+            short[tuple(own)].add(item_id)
+            continue
+        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in own]
+        if ids:
             by_size[len(ids)].append((item_id, ids))
     tables = {}
     for n, some in by_size.items():
@@ -188,7 +192,7 @@ def prepared(items: list[tuple[int, str]], share: float = MAX_EDITS, runs: bool
     for i, n in enumerate(sizes):
         for _, ids in by_size[n]:
             pairs[_pair_slots(np.array(ids))] |= np.uint64(1 << i % 64)
-    return {"vocabulary": vocabulary, "by_size": dict(by_size), "sizes": sizes, "tables": tables, "share": share, "pairs": pairs, "runs": runs}
+    return {"vocabulary": vocabulary, "by_size": dict(by_size), "sizes": sizes, "tables": tables, "share": share, "pairs": pairs, "runs": runs, "short": dict(short)}
 
 
 def _pair_slots(ids: np.ndarray) -> np.ndarray:
@@ -202,22 +206,26 @@ def leaks(texts: list[str | None], held: dict) -> list[set[int]]:
     Windows are item-sized and start at every word and in the gap before it, so that words missing
     at a text's head count as those missing at its end do. A run within ``k`` edits keeps at least
     ``n - 1 - 2k`` of an item's pairs of neighbouring words, and so does a window of ``n`` words over
-    it: a window with fewer pairs that occur in items of its size is not embedded.
+    it: a window with fewer pairs that occur in items of its size is not embedded. Items under
+    MIN_WORDS words are found by a look-up of the whole text's words.
     """
     found: list[set[int]] = []
     vocabulary, sizes = held["vocabulary"], held["sizes"]
-    if not sizes:
-        return [set() for _ in texts]
-    gap = [OTHER] * (allowed(sizes[-1], held["share"]) + 1)
-    ids, start_of = [], []
+    gap = [OTHER] * (allowed(sizes[-1], held["share"]) + 1) if sizes else []
+    ids, start_of, whole = [], [], []
     for i, text in enumerate(texts):
+        words = words_of(text)
+        whole.append(held["short"].get(tuple(words), ()) if len(words) < MIN_WORDS else ())
+        if not sizes:
+            found.append(set())
+            continue
         start_of.append(len(ids))  # a text starts with the gap before it
         ids += gap
-        ids += [vocabulary.get(w, OTHER) for w in words_of(text)]
+        ids += [vocabulary.get(w, OTHER) for w in words]
         if len(ids) > BLOCK_WORDS or i == len(texts) - 1:
             found += _block_leaks(np.array(ids + gap, np.int64), [*start_of, len(ids)], held, sizes)
             ids, start_of = [], []
-    return found
+    return [hits.union(of_whole) for hits, of_whole in zip(found, whole)]
 
 
 def _dense_windows(hits: np.ndarray, n: int, need: int, count: int) -> np.ndarray:
@@ -300,9 +308,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDITS,
     """``docs`` with ``leaked_items``: the sorted ids of the benchmark items each text leaks; map-only.
 
     Items are taken in turns of ``block``, so what is sent to the tasks is bounded whatever the size
-    of the benchmark, and every item is searched in every text. Items without id, null or of fewer
-    than MIN_WORDS words leak nowhere; a null or empty text leaks nothing. Repeated items give their
-    id once. A document leaks an item if any run of its words, wherever it starts and ends, is within
+    of the benchmark, and every item is searched in every text. Items without id,
+    null or without a word leak nowhere; a null or empty text leaks nothing. Repeated items give their
+    id once. An item of fewer than MIN_WORDS words, which allows no edits, leaks where its words are
+    the whole text. A document leaks an item if any run of its words, wherever it starts and ends, is within
     the edits: words may be missing at the document's head or end, or stand in between.
     """
     spark = docs.sparkSession

@@ -149,3 +149,14 @@ def test_passages_cut_at_either_end_or_stretched(spark, documents):
     assert {(d, i) for d, found in got.items() for i in found} <= set(within) and not any(got[d] for d, _ in short)
     lost = [d for d, i in within if i not in got[d]]
     assert len(within) >= 300 and len(lost) <= 0.02 * len(within), lost
+
+
+def test_short_items_leak_as_whole_texts(spark, documents):
+    items = [(1, "Four words are few"), (2, "four words, ARE few!"), (3, "one"), (4, ""), (5, "..."), (6, None), (7, "this item has five words")]
+    texts = [(10, "four  words are\nfew"), (11, "four words are few more"), (12, "One."), (13, ""), (14, "..."), (15, None), (16, "this item has five words"), (17, "one one")]
+    got = {}
+    for some in (items, items[:6]):
+        benchmark = spark.createDataFrame(some, "item_id long, text string")
+        got[len(some)] = {r.doc_id: r.leaked_items for r in K.find_leaks(documents(texts), benchmark, block=2).collect()}
+    want = {i: [] for i, _ in texts} | {10: [1, 2], 12: [3]}
+    assert got[6] == want and got[7] == want | {16: [7]}
