@@ -546,15 +546,20 @@ def e1_three_tables(spark, sf_dir):
     key = F.col("o_orderkey")
     bad = F.when(key % 7 == 0, F.when(key % 3 == 0, 429).otherwise(503)).otherwise(F.col("status"))
     out = scratch(spark, "three")
-    first = pages.select("url", bad.alias("status"), "html", (key % 4).alias("part"))
-    first.unionByName(pages.where(key % 14 == 0).select("url", "status", "html", F.lit(4).alias("part"))).write.partitionBy("part").parquet(f"{out}/pages")
-    arriving = ingest.page_stream(spark, f"{out}/pages/part=*", files_per_batch=24)
-    items = M.order_items(spark, sf_dir)
+    pages.select("url", bad.alias("status"), "html", (key % 4).alias("part")).write.partitionBy("part").parquet(f"{out}/pages")
+    items = stored(M.order_items(spark, sf_dir), "seq")
     once = spark.read.schema(S.DETAIL_PAGES).parquet(f"{out}/pages/part=0")
     at = "2024-01-01 00:00:00"
     commits.stage(ingest.batch_tables(once, items, PORTAL, at), f"{out}/tables", 1)  # no commit follows
-    run = ingest.ingest_details(arriving, items, PORTAL, f"{out}/tables", f"{out}/state", collected_at=at)
-    run.awaitTermination()
+
+    def arrive():
+        run = ingest.ingest_details(ingest.page_stream(spark, f"{out}/pages/part=*"), items, PORTAL, f"{out}/tables", f"{out}/state", collected_at=at)
+        run.awaitTermination()
+        return run
+
+    arrive()
+    pages.where(key % 14 == 0).select("url", "status", "html", F.lit(4).alias("part")).write.mode("append").partitionBy("part").parquet(f"{out}/pages")
+    run = arrive()
     ingest.ingest_batch(once, items, PORTAL, f"{out}/tables", str(run.id), 0, at)
     ingest.compact(spark, f"{out}/tables")
     now = ingest.current_tables(spark, f"{out}/tables")
