@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from .. import schemas as S
+from ..functions import text as X
 from ..operators import attempts as A
 from ..operators import detail as D
 from ..operators.merge import keep_last
-from ..operators.telemetry import LIST_CAP, log_steps
+from ..operators.telemetry import log_steps, running_percent
 from ..plans.metadata import RunResult
 from ..session import durable
 from ..sources.tables import align
@@ -120,40 +117,75 @@ def compact(spark: SparkSession, out: str) -> None:
     commits.replace(spark, out, _current(spark, out))
 
 
-def seen_urls(urls: DataFrame, out: str, checkpoint: str):
-    """Addresses the first time they arrive (E2); the state grows with the distinct addresses.
+def seen_urls(urls: DataFrame, out: str, checkpoint: str, remember: str = "30 days", arrived: Column | None = None):
+    """Addresses when they first arrive (E2), remembered for a bounded time.
+
+    An address is written once as long as it comes again within ``remember`` of the time it was
+    written; it is forgotten when something arrives more than twice as long after it, and a repeat
+    from then on counts as new. So the state holds the addresses of the last two such spans, not all
+    there ever were. ``arrived`` is by default the time of the trigger, which no row can be late for;
+    with a column of the data, rows more than ``remember`` behind the newest one are left out.
 
     Arrival order decides here. The batch rule "first by page order" is ``keep_first``.
     """
+    timed = urls.withColumn("_arrived", F.current_timestamp() if arrived is None else arrived).withWatermark("_arrived", remember)
     return (
-        urls.dropDuplicates(["detail_url"]).writeStream.format("parquet").option("path", out)
+        timed.dropDuplicatesWithinWatermark(["detail_url"]).drop("_arrived").writeStream.format("parquet").option("path", out)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
 PROGRESS = "line_no long, event string, done long, total long, ok long, fail long, percent long"
+LAST_PERCENT = "percent long, version long"
+
+
+def _last_percents(spark: SparkSession, out: str, job: str) -> DataFrame:
+    """(job_id, percent, version): the percent each job had after its last committed batch."""
+    return keep_last(commits.read(spark, out, "percents", f"job_id {job}, {LAST_PERCENT}"), ["job_id"], ["version"])
+
 
+def batch_progress(log: DataFrame, out: str, total_pages: int = 0) -> dict[str, DataFrame]:
+    """Progress events of a batch of log lines, and the percent its jobs have after it.
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Percent of one job after each new step; only the last percent is kept between batches."""
-    percent = state.get[0] if state.exists else 0
-    steps = pd.concat(list(batches)).sort_values("line_no")
-    shown = []
-    for kind, val in zip(steps["kind"], steps["val"]):
-        percent = val if kind == "set" else max(percent, val)
-        percent = min(percent, LIST_CAP) if kind == "held" else percent
-        shown.append(int(percent))
-    state.update((int(percent),))
-    counts = {c: "Int64" for c in ("done", "total", "ok", "fail")}  # absent counts stay null
-    yield steps.astype(counts).assign(percent=shown).drop(columns=["kind", "val"])
-
-
-def progress_stream(log: DataFrame, total_pages: int = 0) -> DataFrame:
-    """Progress events of running jobs (E3 on a stream); lines are classified by Spark, the
-    job's last percent is the state. A batch holds the lines of one trigger, so its size is
-    bounded by the source's files per trigger."""
-    steps = log.select("job_id", "line_no", log_steps(F.trim("line"), total_pages).alias("s")).where("s is not null")
+    A job goes on from its committed percent, which stands before its lines as one more step that
+    sets it. Steps are folded slice by slice (``running_percent``), so the lines of one busy job are
+    spread over tasks.
+    """
     job = log.schema["job_id"].dataType.simpleString()
-    return steps.select("job_id", "line_no", "s.*").groupBy("job_id").applyInPandasWithState(
-        _advance, f"job_id {job}, {PROGRESS}", "percent long", "append", GroupStateTimeout.NoTimeout
-    )
+    read = log.select("job_id", "line_no", log_steps(F.trim("line"), total_pages).alias("s"))
+    steps = durable(X.where_once(read, lambda r: r["s"].isNotNull()).select("job_id", "line_no", "s.*", F.lit(1).alias("_turn")))
+    before = _last_percents(log.sparkSession, out, job).join(steps.select("job_id"), "job_id", "left_semi")
+    start = before.select("job_id", F.lit("set").alias("kind"), F.col("percent").alias("val"), F.lit(0).alias("_turn"))
+    shown = durable(running_percent(steps.unionByName(start, allowMissingColumns=True), ["job_id"], ["_turn", "line_no"]))
+    lines = shown.where("_turn = 1")
+    return {
+        "events": lines.drop("kind", "val", "_turn"),
+        "percents": lines.groupBy("job_id").agg(F.max_by("percent", "line_no").alias("percent")),
+    }
+
+
+def ingest_progress(log: DataFrame, out: str, checkpoint: str, total_pages: int = 0):
+    """Progress events of running jobs (E3 on a stream), batch by batch.
+
+    The events of a batch and the percents to go on from are committed together (``commits``), so a
+    batch that fails or is replayed changes no percent. Batches of a job follow each other in
+    arrival order, lines inside a batch by ``line_no``.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not commits.done(spark, out, stream, batch_id):
+            commits.append(spark, out, batch_progress(batch, out, total_pages), stream, batch_id)
+
+    return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_progress(spark: SparkSession, out: str, job: str = "string") -> DataFrame:
+    """All committed progress events; ``job`` is the type of ``job_id``."""
+    return commits.read(spark, out, "events", f"job_id {job}, {PROGRESS}, version long").drop("version")
+
+
+def compact_progress(spark: SparkSession, out: str, job: str = "string") -> None:
+    """One folder of events, and one percent for each job, in place of those of every batch."""
+    events = commits.read(spark, out, "events", f"job_id {job}, {PROGRESS}, version long")
+    commits.replace(spark, out, {"events": events, "percents": _last_percents(spark, out, job)})

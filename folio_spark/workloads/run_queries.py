@@ -584,6 +584,6 @@ def e2_seen(spark, sf_dir):
 def e3_progress_stream(spark, sf_dir):
     events = ingest.page_stream(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema)
     out = scratch(spark, "progress")
-    shown = ingest.progress_stream(log_lines(events))
-    shown.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    lines = log_lines(events)
+    ingest.ingest_progress(lines, f"{out}/tables", f"{out}/state").awaitTermination()
+    return ingest.current_progress(spark, f"{out}/tables", lines.schema["job_id"].dataType.simpleString())
