@@ -25,23 +25,32 @@ def detail_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return read_table(spark, path, S.DETAIL_PAGES, fmt)
 
 
-def stored_table(spark: SparkSession, path: str, schema: T.StructType, fields: list[tuple[str, str]], fmt: str = "parquet") -> DataFrame:
-    """A saved table, its columns found by name under the published or the internal header.
-
-    Column order and further columns do not matter; a column the file lacks is null.
-    """
+def _loaded(spark: SparkSession, path: str, fields: list[tuple[str, str]], fmt: str) -> DataFrame:
+    """The columns of a saved table under their internal names, with ``_metadata`` of the files."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.options(header=True, multiLine=True, escape='"')
     found = reader.load(path)
     names = {header: name for name, header in fields}
-    return align(found.withColumnsRenamed({c: names[c] for c in found.columns if c in names}), schema)
+    return found.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in found.columns], "_metadata")
+
+
+def stored_table(spark: SparkSession, path: str, schema: T.StructType, fields: list[tuple[str, str]], fmt: str = "parquet") -> DataFrame:
+    """A saved table, its columns found by name under the published or the internal header.
+
+    Column order and further columns do not matter; a column the file lacks is null.
+    """
+    return align(_loaded(spark, path, fields, fmt), schema)
 
 
 def fail_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A saved fail log (A3). A log stored without line numbers is numbered in file order."""
-    rows = stored_table(spark, path, S.FAIL_LOG, V.FAIL_FIELDS, fmt)
-    return rows.withColumn("line_no", F.coalesce("line_no", F.monotonically_increasing_id()))
+    """A saved fail log (A3). One stored without line numbers is numbered by file name and place in the file."""
+    rows = _loaded(spark, path, V.FAIL_FIELDS, fmt)
+    if "line_no" not in rows.columns:
+        # Numbers made while reading rise inside a block only: larger files are read first.
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_read"))
+        rows = number_rows(rows.drop("_metadata"), ["_file", "_block", "_read"], "line_no")
+    return align(rows, S.FAIL_LOG)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from folio_spark import schemas as S
@@ -132,3 +133,16 @@ def test_sinks_round_trip(spark, tmp_path):
     assert B.previous_metadata(spark, str(tmp_path / "j"), fmt="json").count() == 2
     B.save_chunks(rows, ["seq"], str(tmp_path / "c"), "x", cap=1)
     assert sorted(p.name for p in (tmp_path / "c").glob("chunk_no=*")) == ["chunk_no=0", "chunk_no=1"]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_fail_log_without_line_numbers(spark, tmp_path, fmt):
+    """Lines count on from file to file by name, whatever size decides about reading first."""
+    want = []
+    for part, n in enumerate([3, 400, 1, 40]):
+        names = [f"d{part}-{i}" for i in range(n)]
+        rows = spark.createDataFrame([(d, "e" * 200) for d in names], "dataset_name string, error string").coalesce(1)
+        rows.write.format(fmt).option("header", True).save(str(tmp_path / "log" / f"part={part}"))
+        want += names
+    got = B.fail_log(spark, str(tmp_path / "log"), fmt).orderBy("line_no").select("line_no", "dataset_name").collect()
+    assert [(r.line_no, r.dataset_name) for r in got] == list(enumerate(want, 1))
