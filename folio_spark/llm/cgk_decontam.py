@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import own_names
+
 MAX_EDITS = 0.2  # of an item's words
 MIN_WORDS = 5  # shorter items are phrases that any text may hold; they leak where they are the whole text
 WALKS, KEYS_PER_WALK, PLACES = 6, 16, 3  # embeddings, keys sampled from each, places in a key
@@ -325,11 +327,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDITS,
     return out
 
 
+@own_names
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that leak a benchmark item; columns as they were."""
-    kept = docs.withColumnRenamed("leaked_items", "_leaked_items_before")
+    kept = docs.withColumnRenamed("leaked_items", "_before")
     kept = find_leaks(kept, benchmark).where(F.size("leaked_items") == 0).drop("leaked_items")
-    return kept.withColumnRenamed("_leaked_items_before", "leaked_items")
+    return kept.withColumnRenamed("_before", "leaked_items")
 
 
 def op6_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import own_names
+
 
 ORDERS = (2, 3, 4)  # lengths of n-grams; word bounds count as one character
 HASH_BITS = 16  # rows of the n-gram weight table
@@ -389,6 +391,7 @@ def identify(docs: DataFrame, model: Model, name: str = "lang_pred", score: str
     return rows.mapInArrow(_predict_rows(shared, rows.columns.index("text"), [name, score]), f"{fields}, `{name}` string, `{score}` double")
 
 
+@own_names
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
     """``docs`` without texts that have no letter or no language of score ``least`` or more; columns as they were."""
     marked = identify(docs, model, "_lang_pred", "_lang_score")

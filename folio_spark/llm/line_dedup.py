@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, sift
+from .shared import components, cut, own_names, sift
 
 SHINGLE = 8  # characters
 BANDS, ROWS = 10, 4  # finds a pair at Jaccard 0.8 with probability 0.995, at 0.9 with more than 0.9999
@@ -313,6 +313,7 @@ def dedup_lines(
     return joined.mapInArrow(_without_lines, f"{fields}, _lines int, _kept int").drop("_gone")
 
 
+@own_names
 def keep_with_lines(docs: DataFrame) -> DataFrame:
     """``docs`` after line dedup, without documents that lost all their text; columns as they were.
 

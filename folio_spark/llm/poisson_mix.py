@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, own_names
 
 HASH_BITS = 52  # 13 hex digits of an MD5
 
@@ -59,6 +59,7 @@ def cumulative(rate: Column) -> Column:
     return F.when(rate > 0, steps).otherwise(F.array(F.lit(1.0)))
 
 
+@own_names
 def replicate(docs: DataFrame, targets: DataFrame | None = None, power: float = 0.5, size: float = 1.0, seed: int = 17) -> DataFrame:
     """``docs`` with every row repeated a Poisson number of times (perhaps never), in shuffled order.
 

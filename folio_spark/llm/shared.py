@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For stages that call their inner columns ``_name``: the user's columns of such names are
+    called otherwise inside the stage, and as before in its result."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        taken = {c.lower() for c in docs.columns}
+        free = (n for n in (f"user_column_{i}" for i in range(2 * len(taken) + 1)) if n not in taken)
+        aside = {c: next(free) for c in docs.columns if c.startswith("_")}
+        return stage(docs.withColumnsRenamed(aside), *args, **kwargs).withColumnsRenamed({a: c for c, a in aside.items()})
+
+    return run
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and continue from the files.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, without
+from .shared import components, cut, own_names, without
 
 BITS = 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))  # A-Z only
@@ -143,6 +143,7 @@ def groups(docs: DataFrame, radius: int = 4, parts: int = 3, crowd: int = 64) ->
     return marked.join(of_mark, marked["mark"] == of_mark["_mark"]).select("doc_id", "mark", "component_id")
 
 
+@own_names
 def keep_one(docs: DataFrame, radius: int = 4, parts: int = 3, crowd: int = 64) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, own_names
 
 CONTENT_WEIGHT = 0.9  # of content against presentation in a node's importance
 LOW = 0.4  # importance below which a branch is template
@@ -318,6 +318,7 @@ def _hosts(urls):
         yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_host"])
 
 
+@own_names
 def main_texts(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``pages`` with ``text`` (empty if none) and ``n_chars``, its code points; all rows and columns stay.
 
