@@ -68,7 +68,7 @@ def b13_nested_cells(spark, sf_dir):
         "<table>", M.row(("th", "항목명"), ("th", "항목 설명"), ("th", "데이터타입")), M.row(("td", F.col("p_brand")), ("td", M.cat(F.col("p_type"), unit)), ("td", "int")),
         M.row(("td", F.col("p_name")), ("td", ""), ("td", "text")), "</table>",
     )
-    trees = table(spark, sf_dir, "part").select("p_partkey", T.tree(H.visible(html)).alias("tree"))
+    trees = stored(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", T.tree(H.visible(html)).alias("tree"))
     tables = trees.select("p_partkey", DH.tables_with_headers(F.col("tree")).alias("tables"))
     return tables.select("p_partkey", F.posexplode(DH.column_rows(F.col("tables"))).alias("i", "r")).select("p_partkey", (F.col("i") + 1).cast("long").alias("seq"), "r.name", "r.descr", "r.dtype")
 
@@ -76,7 +76,7 @@ def b13_nested_cells(spark, sf_dir):
 @query("b14_nested_titles", "SELECT p_partkey, 'data_ ' || p_partkey || ' 판 ' || p_size AS title FROM part")
 def b14_nested_titles(spark, sf_dir):
     html = M.cat('<div class="wrap"><div class="view title"><div>data_</div><div>', F.col("p_partkey").cast("string"), " <b>판</b></div> ", F.col("p_size").cast("string"), "</div><h1>h1_x</h1></div>")
-    trees = table(spark, sf_dir, "part").select("p_partkey", T.tree(H.visible(html)).alias("tree"))
+    trees = stored(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", T.tree(H.visible(html)).alias("tree"))
     return trees.select("p_partkey", DH.page_title(F.col("tree")).alias("title"))
 
 
@@ -95,5 +95,5 @@ def b15_nested_phone(spark, sf_dir):
         .when(kind == 4, M.cat(f"<table><tr><th>{label}</th><td><table><tr><td>담당</td><td>042-333-", last4, "</td></tr></table></td></tr></table>"))
         .otherwise(M.cat(f"<section>x<p><b>{label}</b></p></section><p>a b c d e f</p>"))
     )
-    trees = table(spark, sf_dir, "customer").select("c_custkey", T.tree(H.visible(html)).alias("tree"))
+    trees = stored(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", T.tree(H.visible(html)).alias("tree"))
     return trees.select("c_custkey", DH.department_phone(F.col("tree"), F.lit("")).alias("phone"))

@@ -505,7 +505,7 @@ def full_run_fails(spark, sf_dir):
         F.when(case == 5, "").otherwise(M.order_url(key)).alias("detail_url"), F.lit("").alias("source_list_url"), *[F.lit(None).cast("string").alias(c) for c in V.CARD_TARGETS],
     )
     long = F.lit("<p>" + "내용 " * 300 + "</p>")
-    pages = table(spark, sf_dir, "orders").where(case != 4).select(
+    pages = stored(table(spark, sf_dir, "orders"), "o_orderkey").where(case != 4).select(
         M.order_url(key).alias("url"), F.when(case == 0, 429).when(case == 1, 503).otherwise(200).alias("status"),
         M.cat("<html><body><h1>t</h1>", F.when(case == 2, M.cat("<p>Too Many Requests</p>", long)).when(case == 3, "").otherwise(long), "</body></html>").alias("html"),
     )
