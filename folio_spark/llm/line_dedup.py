@@ -29,7 +29,7 @@ BANDS, ROWS = 10, 4  # finds a pair at Jaccard 0.8 with probability 0.995, at 0.
 THRESHOLD = 0.8
 BLOCK = 1 << 16  # characters whose shingles are hashed at once
 BUCKET = 1024  # texts of a bucket that are compared in one task
-FEW = 12  # texts of a bucket up to which sets are intersected one by one
+FEW = 12  # texts of a bucket up to which sets of strings are intersected one by one
 
 
 def normal_lines(text: str | None) -> list[str]:
@@ -145,21 +145,50 @@ def jaccard(a: str, b: str, shingle: int = SHINGLE) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _letters_as_bytes(bodies: list[str]) -> list[bytes] | None:
+    """The texts with one byte a character; None if they have more than 256 different ones."""
+    try:
+        return [body.encode("latin-1") for body in bodies]
+    except UnicodeEncodeError:
+        letters = set().union(*bodies)
+        if len(letters) > 256:
+            return None
+        table = {ord(c): i for i, c in enumerate(letters)}
+        return [body.translate(table).encode("latin-1") for body in bodies]
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
 def bucket_links(names: list[int], bodies: list[str], shingle: int, threshold: float, asked: list[bool] | None = None) -> list[tuple[int, int]]:
     """Links whose closure joins all texts of a bucket within the threshold.
 
     With ``asked``, only pairs with a text that is asked for are looked at, all of them.
     """
-    sets = [{body[i : i + shingle] for i in range(len(body) - shingle + 1)} for body in bodies]
+    # Eight characters of a byte each are one exact number, so no shingle is made a string of its own.
+    data = _letters_as_bytes(bodies) if shingle == 8 else None
+    if data is not None:
+        sets = [_distinct(np.ndarray(len(x) - 7, "<u8", x, strides=(1,))) for x in data]
+    else:
+        sets = [{body[i : i + shingle] for i in range(len(body) - shingle + 1)} for body in bodies]
     size = np.array([len(x) for x in sets])
-    if len(sets) > FEW:
-        number = {x: i for i, x in enumerate(set().union(*sets))}
-        sets = [np.fromiter([number[x] for x in own], np.int32, len(own)) for own in sets]
-        flat, at, mark = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)[:-1]]), np.zeros(len(number), np.int32)
+    counted = data is not None or len(sets) > FEW
+    if counted:
+        ends = np.cumsum(size)
+        if data is not None:
+            numbers, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            sets = np.split(flat, ends[:-1])
+        else:
+            numbers = {x: i for i, x in enumerate(set().union(*sets))}
+            sets = [np.fromiter([numbers[x] for x in own], np.int32, len(own)) for own in sets]
+            flat = np.concatenate(sets)
+        at, mark = np.concatenate([[0], ends[:-1]]), np.zeros(len(numbers), np.int32)
 
     def shared(x: int) -> np.ndarray:
         """Shingles that text x has in common with each."""
-        if len(sets) <= FEW:
+        if not counted:
             return np.array([len(sets[x] & other) for other in sets])
         mark[sets[x]] = 1
         both = np.add.reduceat(mark[flat], at)

@@ -113,3 +113,25 @@ def test_banding_recall():
             n += 1
             met += bool((L.band_keys([a], L.SHINGLE, L.BANDS, L.ROWS) == L.band_keys([b], L.SHINGLE, L.BANDS, L.ROWS)).any())
     assert met / n > 0.97
+
+
+@pytest.mark.parametrize("letters", ["abcdefgh", "äöüßéèñç", "абвгдежз", "".join(map(chr, range(0xAC00, 0xAE00)))])
+def test_bucket_links_are_exact_in_every_alphabet(letters):
+    rng = random.Random(4)
+    base = "".join(rng.choice(letters) for _ in range(400))
+    texts = [base] + [base[:k] + "".join(rng.choice(letters) for _ in range(n)) + base[k + n :] for k, n in ((9, 20), (100, 33), (50, 44), (0, 60), (300, 36))]
+    for other in texts[1:]:
+        assert bool(L.bucket_links([0, 1], [base, other], L.SHINGLE, L.THRESHOLD)) == (L.jaccard(base, other) >= L.THRESHOLD)
+
+
+def test_shingles_of_a_bucket_take_little_memory():
+    """A full bucket of paragraphs, as executors hold several at once."""
+    import tracemalloc
+
+    rng = random.Random(6)
+    texts = [prose(rng, 80) for _ in range(300)]
+    tracemalloc.start()
+    L.bucket_links(list(range(300)), texts, L.SHINGLE, L.THRESHOLD)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * sum(map(len, texts))
