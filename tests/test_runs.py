@@ -35,6 +35,25 @@ def test_route_matches_loop(spark):
     assert got == {u: literal_route(a) for u, a in cases.items()}
 
 
+def test_items_without_answer_are_dealt_over_tasks(spark):
+    """Blank addresses and items without a usable page match nothing and do not meet in one task."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        url = F.when(F.col("id") % 2 == 0, "").otherwise(F.concat(F.lit("u"), "id"))
+        items = spark.range(800).select(F.col("id").alias("seq"), url.alias("detail_url"))
+        parsed = spark.range(0, 800, 8).select(F.concat(F.lit("u"), F.col("id") + 1).alias("url"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("any"))
+        chosen = A.choose_response(items, parsed, "https://p.example")
+        sizes = chosen.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(sizes) == 800 and max(sizes) < 300
+        assert chosen.where("page IS NOT NULL").count() == 100 and chosen.where("stage = 'empty_url'").count() == 400
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def literal_names(files):
     taken, out = set(), {}
     for d, name, ord_ in sorted(files, key=lambda f: f[2]):
