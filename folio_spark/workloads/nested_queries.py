@@ -68,7 +68,7 @@ def b13_nested_cells(spark, sf_dir):
         "<table>", M.row(("th", "항목명"), ("th", "항목 설명"), ("th", "데이터타입")), M.row(("td", F.col("p_brand")), ("td", M.cat(F.col("p_type"), unit)), ("td", "int")),
         M.row(("td", F.col("p_name")), ("td", ""), ("td", "text")), "</table>",
     )
-    trees = stored(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", T.tree(H.visible(html)).alias("tree"))
+    trees = stored(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", T.tree(H.visible(html), "tables").alias("tree"))
     tables = trees.select("p_partkey", DH.tables_with_headers(F.col("tree")).alias("tables"))
     return tables.select("p_partkey", F.posexplode(DH.column_rows(F.col("tables"))).alias("i", "r")).select("p_partkey", (F.col("i") + 1).cast("long").alias("seq"), "r.name", "r.descr", "r.dtype")
 

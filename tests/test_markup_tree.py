@@ -40,6 +40,22 @@ def test_built_pages_are_dealt_over_tasks(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() > 1
 
 
+def test_tables_come_with_the_tree(monkeypatch):
+    """Own cells, all below for rows of one, normal forms; the nodes of one order of tags are made once."""
+    made = []
+    shape_of = K.shape_of
+    monkeypatch.setattr(K, "shape_of", lambda names: made.append(names) or shape_of(names))
+    monkeypatch.setattr(K, "KNOWN", 3)
+    rows = "<table><tr><th>a : {0}<td>b<table><tr><td>c &amp; <b>d</b> e</table>f<tr><td><table><tr><td>x<td>y</table></table>"
+    found = K.page_trees({"amp": "&"}, "[ :]", ("tables",))(pa.array([rows.format(i) for i in range(5)])).to_pylist()
+    assert len(made) == 1
+    for i, page in enumerate(found):
+        sides = [[tuple(None if r[n] is None else [c["text"] for c in r[n]] for n in ("cells", "paired")) for r in t] for t in page["tables"]]
+        inner, two = (["c & d e"], ["c & d e"]), (["x", "y"], None)
+        assert sides == [[([f"a : {i}", "b c & d e f"], None), inner, (["x y"], ["x y", "x", "y"]), two], [inner], [two]]
+        assert page["tables"][0][0]["cells"][0] == {"tag": "th", "at": 2, "text": f"a : {i}", "key": f"a{i}"}
+
+
 def test_white_space_spelled_out(spark):
     """The spelled-out classes hold what the Unicode class holds, for every character."""
     chars = spark.range(1, 0xD800).selectExpr("decode(encode(char(0), 'UTF-8'), 'UTF-8') AS z", "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c")
