@@ -133,7 +133,7 @@ SELECT 'order ' || o_orderkey AS dataset_name, CASE WHEN name IS NULL THEN '' EL
 FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
 def c13_c15_column_output(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    pages = orders.join(M.order_columns(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    pages = stored(orders.join(M.order_columns(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left"), "o_orderkey")
     trees = pages.select("o_orderkey", T.tree(H.visible(F.col("columns_html")), "tables").alias("tree"))
     tables = trees.select("o_orderkey", DH.tables_with_headers(F.col("tree")).alias("tables"))
     rows = tables.select(
