@@ -40,6 +40,10 @@ def test_built_pages_are_dealt_over_tasks(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() > 1
 
 
+def test_column_output_pages_are_dealt_over_tasks(spark, sf_dir):
+    assert QUERIES["c13_c15_column_output"](spark, sf_dir).rdd.getNumPartitions() > 1
+
+
 def test_tables_come_with_the_tree(monkeypatch):
     """Own cells, all below for rows of one, normal forms; the nodes of one order of tags are made once."""
     made = []
@@ -56,6 +60,13 @@ def test_tables_come_with_the_tree(monkeypatch):
         assert page["tables"][0][0]["cells"][0] == {"tag": "th", "at": 2, "text": f"a : {i}", "key": f"a{i}"}
 
 
+def test_words_a_page_says():
+    """Over tokens, as they stand or in capitals; every page has its own."""
+    pages = ["<p>too many</p><p>requests csv", "", None, "<script>CSV</script>Too <b>Many", "captcha &amp; c"]
+    made = K.page_trees({"amp": "&"}, " ", ("text", "said"), ("CSV", "many requests", "Too Many", "captcha & c"))(pa.array(pages)).to_pylist()
+    assert [m["said"] for m in made] == [["CSV", "many requests"], [], [], ["Too Many"], ["captcha & c"]]
+
+
 def test_white_space_spelled_out(spark):
     """The spelled-out classes hold what the Unicode class holds, for every character."""
     chars = spark.range(1, 0xD800).selectExpr("decode(encode(char(0), 'UTF-8'), 'UTF-8') AS z", "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c")
