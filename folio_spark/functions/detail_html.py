@@ -124,7 +124,9 @@ def phone_from_element(t: Column, node: Column, text: Column) -> Column:
     """Phone in an element's ``text``, else in the scripts below it, else in attributes below it."""
     inside = T.below(t, node)
     scripts = F.transform(T.tagged(inside, "script"), lambda n: T.text_of(t, n))
-    values = F.flatten(F.transform(inside, lambda n: H.attributes(T.start_tag(t, n), V.PHONE_ATTRIBUTES)))
+    # Most start tags have no attributes.
+    told = F.filter(inside, lambda n: F.get(t["raw"], n["open"]).contains("="))
+    values = F.flatten(F.transform(told, lambda n: H.attributes(T.start_tag(t, n), V.PHONE_ATTRIBUTES)))
     attributes = F.transform(values, lambda v: X.clean_text(v))
     sources = F.filter(F.concat(F.array(text), scripts, attributes), lambda s: s != "")
 

@@ -300,14 +300,17 @@ def block_signal(c: Column, chars: int | None = V.BLOCK_HEAD) -> Column:
 
 # --- D23-D25 phones --------------------------------------------------------------------
 def phone_number(c: Column) -> Column:
-    text = clean_text(c)
-    hit = let(text, lambda t: first_filled(*[F.regexp_extract(t, rx(p), 0) for p in V.PHONE_PATTERNS]))
-    dashed = F.translate(erase(hit, WS + "+"), ".)", "--")
-    return F.regexp_replace(F.regexp_replace(dashed, "-+", "-"), "^-|-$", "")
+    def found(t: Column) -> Column:
+        hit = first_filled(*[F.regexp_extract(t, rx(p), 0) for p in V.PHONE_PATTERNS])
+        dashed = F.translate(erase(hit, WS + "+"), ".)", "--")
+        return F.regexp_replace(F.regexp_replace(dashed, "-+", "-"), "^-|-$", "")
+
+    # Every pattern asks for a digit, which most texts lack.
+    return let(F.coalesce(c.cast("string"), F.lit("")), lambda t: F.when(t.rlike(rx(r"\d")), let(clean_text(t), found)).otherwise(""))
 
 
 def is_portal_phone(c: Column) -> Column:
-    return let(clean_text(c), lambda t: (phone_number(t) == V.PORTAL_PHONE) & any_of(V.PORTAL_TERMS, t))
+    return let(clean_text(c), lambda t: any_of(V.PORTAL_TERMS, t) & (phone_number(t) == V.PORTAL_PHONE))
 
 
 def phone_after_label(c: Column) -> Column:

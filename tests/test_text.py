@@ -1,8 +1,11 @@
 """Golden vectors of the scalar rules."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from folio_spark import vocab as V
 from folio_spark.functions import text as X
 from folio_spark.functions import urls as U
 
@@ -155,3 +158,16 @@ def test_windows_of_the_rules_can_be_lifted(spark):
         D.invalid_reason(F.col("t"), F.lit("")).alias("r"),
     ).first()
     assert (row.near, row.far, row.r) == (False, True, "")
+
+
+def test_phone_patterns_wait_for_a_digit(spark):
+    """Texts without a digit, which most are, are told by one search; what counts as a digit follows Unicode."""
+    def literal(text: str) -> str:
+        hit = next((m[0] for p in V.PHONE_PATTERNS if (m := re.search(p, " ".join(text.split())))), "")
+        return re.sub("^-|-$", "", re.sub("-+", "-", re.sub(r"\s+", "", hit).translate(str.maketrans(".)", "--"))))
+
+    texts = ["번호 없음", "xxx-xxxx", "***-****", "١٢-xxx-****", "044 - ***-1234", "053-670-0619", "1xxx-****", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.phone_number(F.col("t")).alias("p"))
+    assert {r.t: r.p for r in df.collect()} == {t: literal(t) for t in texts}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find(r"(?U)\d)") < plan.find("regexp_extract")

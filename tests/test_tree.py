@@ -152,3 +152,8 @@ def test_cards_with_lists_inside(spark):
     assert rows == [("교통_현황", "12", "3", "서울"), ("주차_현황", "5", "6", None)]
     assert [(r.title, r.views, r.downloads) for r in L.counts_cards(pages, PORTAL).orderBy("pos").collect()] == [("교통_현황", 12, 3), ("주차_현황", 5, 6)]
     assert [r.title for r in L.download_cards(pages, PORTAL).orderBy("pos").collect()] == ["교통_현황", "주차_현황"]
+
+
+def test_phone_in_spread_attributes(spark):
+    """A start tag may break its lines and space its equals sign; tags without attributes are passed over."""
+    assert phone(spark, f"<div><b>{LABEL}</b><i><u></u><em\ndata-tel\n=\n'02-111-2222'></em></i></div>") == "02-111-2222"
