@@ -46,67 +46,55 @@ def column_header(rows: Column, searched: int | None = V.HEADER_SEARCH_ROWS) ->
 
     The header is looked for in the first ``searched`` rows, the portal's rule (None: in all).
     """
-    def at(keys: Column, allowed: list[str]) -> Column:
-        return F.array_position(F.transform(keys, lambda k: k.isin(allowed)), F.lit(True)).cast("int")
-
-    def look(row: Column, i: Column) -> Column:
-        return X.let(
-            F.transform(row["cells"], lambda c: c["key"]),
-            lambda k: F.struct(
-                (i + 1).alias("row"),
-                at(k, V.HEADER_NAME_KEYS).alias("name"),
-                at(k, V.HEADER_DESC_KEYS).alias("descr"),
-                at(k, V.HEADER_TYPE_KEYS).alias("dtype"),
-                at(k, V.HEADER_LENGTH_KEYS).alias("length"),
-                F.exists(k, lambda x: x.isin(V.HEADER_EXTRA_KEYS)).alias("extra"),
-            ),
-        )
+    def is_head(row: Column) -> Column:
+        described = T.marked(row["any"], "descr", "length") & T.marked(row["any"], "extra")
+        return T.marked(row["any"], "name") & (T.marked(row["any"], "dtype") | described)
 
-    heads = F.transform(rows if searched is None else F.slice(rows, 1, searched), look)
-    return F.get(
-        F.filter(
-            heads,
-            lambda h: (h["name"] > 0) & ((h["dtype"] > 0) | (((h["descr"] > 0) | (h["length"] > 0)) & h["extra"])),
-        ),
-        F.lit(0),
-    )
+    def at(cells: Column, name: str) -> Column:
+        return F.array_position(F.transform(cells, lambda c: T.marked(c["mark"], name)), F.lit(True)).cast("int").alias(name)
+
+    def look(i: Column) -> Column:
+        return F.when(i.isNotNull(), X.let(F.get(rows, i)["cells"], lambda cells: F.struct((i + 1).alias("row"), *[at(cells, n) for n in COLUMN_PARTS])))
+
+    heads = F.transform(rows if searched is None else F.slice(rows, 1, searched), lambda row, i: F.when(is_head(row), i))
+    return X.let(F.get(F.filter(heads, lambda i: i.isNotNull()), F.lit(0)), look)
 
 
 def tables_with_headers(t: Column) -> Column:
     return F.transform(table_rows(t), lambda r: F.struct(r.alias("rows"), column_header(r).alias("head")))
 
 
-def _is_heading_row(cells: Column) -> Column:
+def _is_heading_row(row: Column) -> Column:
     """Empty rows, rows of labels only, the second header row, and repeated headers."""
-    keys = F.transform(F.filter(cells, lambda c: c["text"] != ""), lambda c: c["key"])
-    return X.let(
-        keys,
-        lambda k: (F.size(k) == 0)
-        | F.forall(k, lambda x: X.is_in(x, SKIP_NORMS))
-        | X.any_of(V.SUBHEADER_RUNS, F.array_join(k, ""))
-        | (F.array_contains(k, "항목명") & (F.array_contains(k, "데이터타입") | F.array_contains(k, "항목설명"))),
+    def joined() -> Column:
+        return F.array_join(F.transform(row["cells"], lambda c: c["key"]), "")
+
+    return (
+        T.marked(row["all"], "skip")
+        | (T.marked(row["any"], "again") & T.marked(row["any"], "again_with"))
+        | (T.marked(row["any"], "run") & X.any_of(V.SUBHEADER_RUNS, joined()))
     )
 
 
 def column_rows(tables: Column) -> Column:
     """Column descriptions of all column tables of a page, in page order."""
-    blank = F.struct(F.lit("").alias("text"), F.lit("").alias("key"))
+    blank = F.struct(F.lit("").alias("text"), F.lit("").alias("key"), F.lit(0).alias("mark"))
 
     def cell(cells: Column, at: Column) -> Column:
-        return X.let(F.get(cells, at - 1), lambda c: F.when((at > 0) & c.isNotNull(), F.struct(c["text"].alias("text"), c["key"].alias("key"))).otherwise(blank))
+        return F.coalesce(X.let(F.get(cells, at - 1), lambda c: F.when(c.isNotNull(), F.struct(c["text"].alias("text"), c["key"].alias("key"), c["mark"].alias("mark")))), blank)
 
     def rows_of(t: Column) -> Column:
         body = F.slice(t["rows"], t["head"]["row"] + 1, F.greatest(F.size(t["rows"]) - t["head"]["row"], F.lit(0)))
         return F.transform(
-            F.filter(body, lambda r: ~_is_heading_row(r["cells"])),
+            F.filter(body, lambda r: ~_is_heading_row(r)),
             lambda r: F.struct(*[cell(r["cells"], t["head"][k]).alias(k) for k in COLUMN_PARTS]),
         )
 
     def is_real(r: Column) -> Column:
-        joined = F.concat(*[r[k]["key"] for k in COLUMN_PARTS])
-        named = (r["name"]["text"] != "") & ~X.is_in(r["name"]["key"], SKIP_NORMS)
-        filled = (r["descr"]["text"] != "") | (r["dtype"]["text"] != "") | (r["length"]["text"] != "")
-        return named & filled & ~X.any_of(V.SUBHEADER_RUNS_LATE, joined)
+        named = T.marked(r["name"]["mark"], "filled") & ~T.marked(r["name"]["mark"], "skip")
+        filled = T.marked(reduce(lambda a, b: a.bitwiseOR(b), [r[k]["mark"] for k in COLUMN_PARTS[1:]]), "filled")
+        run = reduce(lambda a, b: a.bitwiseOR(b), [r[k]["mark"] for k in COLUMN_PARTS])
+        return named & filled & ~(T.marked(run, "run") & X.any_of(V.SUBHEADER_RUNS_LATE, F.concat(*[r[k]["key"] for k in COLUMN_PARTS])))
 
     described = F.filter(tables, lambda t: t["head"].isNotNull())
     real = F.filter(F.flatten(F.transform(described, rows_of)), is_real)

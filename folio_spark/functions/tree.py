@@ -16,25 +16,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import vocab as V
 from .html import NAMED, inner
 from .markup_tree import BLOCKS, INLINE, VOID, page_trees  # noqa: F401
-from .text import LABEL_NOISE, clean_text, word_array
+from .text import LABEL_NOISE, clean_text, norm_words, word_array
 
 TAG = r"^<[a-zA-Z/!?][^>]*>"
 NODES = "array<struct<at:int,tag:string,open:int,stop:int,last:int,parent:int>>"
-CELLS = "array<struct<tag:string,at:int,text:string,key:string>>"
-TABLES = f"array<array<struct<cells:{CELLS},paired:{CELLS}>>>"
-PARTS = {"raw": "array<string>", "text": "array<string>", "nodes": NODES, "tables": TABLES, "said": "array<string>"}
+CELLS = "array<struct<tag:string,at:int,text:string,key:string,mark:int>>"
+TABLES = f"array<array<struct<cells:{CELLS},paired:{CELLS},any:int,all:int>>>"
+PARTS = {"raw": "array<string>", "text": "array<string>", "nodes": NODES, "tables": TABLES, "said": "array<string>", "shown": "string"}
+# Groups of keys that the rules of column tables ask for: whether a cell is of one is known once for all its like.
+KEY_GROUPS = {
+    "name": V.HEADER_NAME_KEYS, "descr": V.HEADER_DESC_KEYS, "dtype": V.HEADER_TYPE_KEYS, "length": V.HEADER_LENGTH_KEYS, "extra": V.HEADER_EXTRA_KEYS,
+    "skip": norm_words(V.COLUMN_SKIP_WORDS), "again": ["항목명"], "again_with": ["데이터타입", "항목설명"],
+}
+RUN_STARTS = "".join(sorted({run[0] for run in V.SUBHEADER_RUNS_LATE}))
+MARKS = {"filled": 1, "run": 2} | {name: 4 << i for i, name in enumerate(KEY_GROUPS)}
 
 
 def tree(markup: Column, *parts: str, words: tuple[str, ...] = ()) -> Column:
     """struct(raw, text, nodes, tables) of visible markup: the element tree of a page, or only ``parts`` of it.
 
-    With ``words``, ``said`` holds those that the page's text contains, as they stand or in capitals, so
+    ``shown``, if asked for, is the page's text. With ``words``, ``said`` holds those that the page's text contains, as they stand or in capitals, so
     that rules whose words are absent need not search the text.
     """
     parts = (parts or ("raw", "text", "nodes", "tables")) + (("said",) if words else ())
-    return F.arrow_udf(page_trees(NAMED, LABEL_NOISE, parts, words), f"struct<{','.join(f'{p}:{PARTS[p]}' for p in parts)}>")(markup)
+    groups = tuple(map(tuple, KEY_GROUPS.values()))
+    return F.arrow_udf(page_trees(NAMED, LABEL_NOISE, parts, words, groups, RUN_STARTS), f"struct<{','.join(f'{p}:{PARTS[p]}' for p in parts)}>")(markup)
 
 
 def read(markup: Column) -> Column:
@@ -47,9 +56,14 @@ def says(t: Column, words: list[str]) -> Column:
     return F.arrays_overlap(t["said"], word_array(words))
 
 
+def marked(bits: Column, *names: str) -> Column:
+    """Whether a mark, or the ``any`` or ``all`` of a row's, has one of some bits."""
+    return bits.bitwiseAND(F.lit(sum(MARKS[n] for n in names))) != 0
+
+
 def blank() -> Column:
     """The tree of a page without markup."""
-    return F.struct(F.array(F.lit("")).alias("raw"), F.array(F.lit("")).alias("text"), F.array().cast(NODES).alias("nodes"), F.array().cast(TABLES).alias("tables"), F.array().cast("array<string>").alias("said"))
+    return F.struct(F.array(F.lit("")).alias("raw"), F.array(F.lit("")).alias("text"), F.array().cast(NODES).alias("nodes"), F.array().cast(TABLES).alias("tables"), F.array().cast("array<string>").alias("said"), F.lit("").alias("shown"))
 
 
 def joined(texts: Column) -> Column:

@@ -60,6 +60,25 @@ def test_tables_come_with_the_tree(monkeypatch):
         assert page["tables"][0][0]["cells"][0] == {"tag": "th", "at": 2, "text": f"a : {i}", "key": f"a{i}"}
 
 
+def test_cells_and_rows_are_marked(monkeypatch):
+    """Bits of text, starts and groups per cell; any of a row's, and all that have a text (-1 without one); known from batch to batch."""
+    run = K.page_trees({}, "[ :]", ("tables",), groups=(("a", "b"), ("b",)), starts="xy")
+    html = "<table><tr><th>a :<td>b<td> <tr><tr><td> <td>:<tr><td>a<td>b<tr><td>0x<td></table>"
+    for _ in range(2):
+        rows = run(pa.array(["<p>", html])).to_pylist()[1]["tables"][0]
+        assert [[c["mark"] for c in r["cells"]] for r in rows] == [[5, 13, 0], [], [0, 1], [5, 13], [3, 0]]
+        assert [(r["any"], r["all"]) for r in rows] == [(13, 5), (0, -1), (1, 1), (13, 5), (3, 3)]
+        monkeypatch.setattr(K, "token_reader", None)
+
+
+@pytest.mark.parametrize("markup", ["", "a", "<p>a<b>", "x<p>a</p>", "a < b<p>", "<<p>< a", "<!-- --><?x?>", "<", "<p><"])
+def test_tokens_of_tidy_and_of_odd_markup(markup):
+    raw = K.TOKEN.findall(markup)
+    first = K.FIRST.search(markup)
+    head = markup if first is None else markup[: first.start()]
+    assert K.raw_tokens(markup) == ([head] if head or first is None else []) + raw
+
+
 def test_words_a_page_says():
     """Over tokens, as they stand or in capitals; every page has its own."""
     pages = ["<p>too many</p><p>requests csv", "", None, "<script>CSV</script>Too <b>Many", "captcha &amp; c"]
