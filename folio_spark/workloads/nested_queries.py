@@ -76,7 +76,7 @@ def b13_nested_cells(spark, sf_dir):
 @query("b14_nested_titles", "SELECT p_partkey, 'data_ ' || p_partkey || ' 판 ' || p_size AS title FROM part")
 def b14_nested_titles(spark, sf_dir):
     html = M.cat('<div class="wrap"><div class="view title"><div>data_</div><div>', F.col("p_partkey").cast("string"), " <b>판</b></div> ", F.col("p_size").cast("string"), "</div><h1>h1_x</h1></div>")
-    trees = stored(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", T.tree(H.visible(html)).alias("tree"))
+    trees = stored(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", T.tree(H.visible(html), "raw", "text", "nodes").alias("tree"))
     return trees.select("p_partkey", DH.page_title(F.col("tree")).alias("title"))
 
 

@@ -171,3 +171,33 @@ def test_phone_patterns_wait_for_a_digit(spark):
     assert {r.t: r.p for r in df.collect()} == {t: literal(t) for t in texts}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.find(r"(?U)\d)") < plan.find("regexp_extract")
+
+
+def test_words_that_spare_a_search_stand_wherever_a_pattern_matches(spark):
+    """Whatever letter counts as one of a pattern's in another case, the cheap test sees it as well."""
+    chars = spark.range(1, 0xD800).selectExpr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c")
+    letters = {"title": "newupdat업데이트", "block": "".join(sorted({w[0] for w in V.BLOCK_PATTERN_WORDS.split("|")}))}
+    odd = chars.where(F.col("c").rlike(X.rx(f"^[{letters['title']}]$", True)) != F.col("c").rlike(f"(?i)^[{letters['title']}]$"))
+    first = X.BLOCK_WORDS[len("(?=") :].split(")")[0]
+    odder = chars.where(F.col("c").rlike(X.rx(f"^[{letters['block']}]$", True)) != F.col("c").rlike(f"^{first}$"))
+    assert odd.count() == 0 and odder.count() == 0
+    assert set(V.BLOCK_PATTERN_HINTS) >= {next(h for h in V.BLOCK_PATTERN_HINTS if h in p) for p in V.BLOCK_PATTERNS}
+    assert V.TITLE_PORTAL in V.TITLE_PORTAL_TAIL
+
+
+def test_titles_cleaned_as_by_every_pattern(spark):
+    """The steps one after the other, none spared."""
+    titles = ["New a_b", "a NEW b", "a_b updated", "csv Update x 업데이트", "newer", "CSV 자료 - 공공데이터포털", "a 제공기관 b New", "(a New)", "x Update 제공기관", "공공데이터포털 a", "", "a_b_20240101"]
+
+    def plainly(c, unwrap):
+        c = X.clean_text(c)
+        for p in (V.TITLE_BADGES, V.TITLE_STATUS_HEAD, V.TITLE_STATUS_TAIL, V.TITLE_NEW_ANYWHERE):
+            c = X.erase(c, p, True)
+        c = X.let(c, X._cut_at_marker)
+        c = X.erase(X.erase(c, V.TITLE_STATUS_TAIL, True) if unwrap else c, V.TITLE_PORTAL_TAIL)
+        c = X.clean_text(c)
+        return F.when(c.rlike(V.TITLE_WRAPPED), F.trim(F.substring(c, F.lit(2), F.length(c) - 2))).otherwise(c) if unwrap else c
+
+    rows = spark.createDataFrame([(t,) for t in titles], "t string")
+    both = rows.select("t", *[f.alias(f"{n}{u}") for u in (True, False) for n, f in (("a", X.clean_dataset_title(F.col("t"), u)), ("b", plainly(F.col("t"), u)))])
+    assert all(r["aTrue"] == r["bTrue"] and r["aFalse"] == r["bFalse"] for r in both.collect())
