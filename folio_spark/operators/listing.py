@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import html as H
+from ..functions import page_reader as R
 from ..functions import text as X
 from ..functions import tree as T
 from ..functions import urls as U
@@ -46,82 +47,13 @@ def _trees(pages: DataFrame) -> DataFrame:
     return pages.select(*CARD_KEYS, T.tree(H.visible(F.col("html"))).alias("tree"))
 
 
-def _unique_links(items: Column) -> Column:
-    """First item per link address of one page."""
-    return X.let(
-        F.struct(items.alias("i"), F.transform(items, lambda i: i["url"]).alias("u")),
-        lambda p: F.filter(p["i"], lambda i, n: F.array_position(p["u"], i["url"]) == n + 1),
-    )
-
-
-def _resolved(t: Column, nodes: Column, base: Column) -> Column:
-    """Links among ``nodes`` that lead to a data page, with their full addresses."""
-    full = F.transform(_data_links(t, nodes), lambda a: F.struct(a["node"].alias("node"), U.absolute_url(base, a["href"]).alias("url")))
-    return F.filter(full, lambda a: U.is_detail_url(a["url"]))
-
-
-def _page_items(t: Column, base: Column) -> Column:
-    """Cards of a page; a page without any card gives all its data links instead."""
-    def linked(li: Column) -> Column:
-        return X.let(F.get(_resolved(t, T.below(t, li), base), F.lit(0)), lambda a: F.struct(li.alias("li"), a["url"].alias("url"), a["node"].alias("link")))
-
-    cards = F.filter(F.transform(_list_items(t, RESULT_LIST), linked), lambda i: i["url"].isNotNull())
-    loose = F.transform(
-        _resolved(t, t["nodes"], base),
-        lambda a: F.struct(F.when(F.lit(False), a["node"]).alias("li"), a["url"].alias("url"), a["node"].alias("link")),
-    )
-    return X.let(cards, lambda c: F.when(F.size(c) > 0, c).otherwise(loose))
-
-
 def cards(pages: DataFrame) -> DataFrame:
-    """One row per dataset card (B1), or per data link on pages without cards (B2)."""
-    t = F.col("tree")
-
-    def read(i: Column) -> Column:
-        return F.struct(
-            i["url"].alias("url"), i["li"].isNotNull().alias("is_card"), _text_or_blank(t, i["li"]).alias("text"),
-            T.text_of(t, i["link"]).alias("anchor_text"),
-            F.when(i["li"].isNull(), "").otherwise(_text_or_blank(t, _title_node(t, i["li"]))).alias("title_text"),
-        )
-
-    found = _trees(pages).select(*CARD_KEYS, "tree", _unique_links(_page_items(t, F.col("list_url"))).alias("found"))
-    items = found.select(*CARD_KEYS, F.posexplode(F.transform("found", read)).alias("pos", "item"))
-    parts = items.select(
-        *CARD_KEYS, "pos", F.col("item.url").alias("detail_url"), "item.is_card", "item.text", "item.anchor_text", "item.title_text"
-    )
-
-    def usable(c: Column) -> Column:
-        return X.let(X.clean_dataset_title(c), lambda t: F.when(X.is_menu_title(t), "").otherwise(t))
-
-    titled = parts.select(
-        "*",
-        F.when(F.col("is_card"), usable(F.col("anchor_text"))).otherwise("").alias("t_anchor"),
-        F.when(F.col("is_card"), usable(F.col("title_text"))).otherwise("").alias("t_title"),
-        F.when(F.col("is_card"), X.card_counts(F.col("text"))).alias("counts"),
-    )
-    named = titled.select(
-        "*",
-        X.first_filled(F.col("t_anchor"), F.col("t_title"), F.col("anchor_text")).alias("raw_title"),
-        F.when(~F.col("is_card"), "fallback_anchor")
-        .when(F.col("t_anchor") != "", "anchor")
-        .when(F.col("t_title") != "", "title_selector")
-        .otherwise("anchor_raw")
-        .alias("title_source"),
-    )
-    return named.select(
-        "org",
-        "page_no",
-        "pos",
-        "raw_title",
-        X.clean_dataset_title(F.col("raw_title")).alias("title"),
-        "title_source",
-        F.array_join(X.detect_formats(X.first_filled(F.col("raw_title"), F.col("text"))), " ").alias("formats"),
-        F.coalesce("counts.views", F.lit("")).alias("views"),
-        F.coalesce("counts.downloads", F.lit("")).alias("downloads"),
-        "detail_url",
-        F.col("list_url").alias("source_list_url"),
-        *[X.filled(X.labelled_value(F.col("text"), label)).alias(k) for k, label in V.CARD_TARGETS.items()],
-    )
+    """One row per dataset card (B1), or per data link on pages without cards (B2); read in the task that holds the page."""
+    found = pages.select(*CARD_KEYS, R.listed(H.visible(F.col("html")), F.col("list_url")).alias("cards"))
+    # Exploded as an expression: the optimizer would read the pages a second time to leave out those without cards.
+    items = found.select(*CARD_KEYS, F.posexplode(F.transform("cards", lambda c: c)).alias("pos", "c"))
+    names = ("raw_title", "title", "title_source", "formats", "views", "downloads", "detail_url")
+    return items.select("org", "page_no", "pos", *[f"c.{n}" for n in names], F.col("list_url").alias("source_list_url"), *[f"c.{n}" for n in V.CARD_TARGETS])
 
 
 def _simple_cards(pages: DataFrame, portal_base: str, with_file_list: bool) -> DataFrame:
