@@ -165,3 +165,13 @@ def test_fail_log_without_line_numbers(spark, tmp_path, fmt):
         want += names
     got = B.fail_log(spark, str(tmp_path / "log"), fmt).orderBy("line_no").select("line_no", "dataset_name").collect()
     assert [(r.line_no, r.dataset_name) for r in got] == list(enumerate(want, 1))
+
+
+def test_answers_are_never_broadcast(spark):
+    """Items and answers grow together, and a file's size may be far below that of its rows."""
+    items = spark.sql("select * from values (1, 'https://h/data/1/fileData.do'), (2, 'https://h/data/2/fileData.do'), (3, '') t(k, detail_url)")
+    parsed = spark.sql("select * from values ('https://h/data/1/fileData.do', null, 7), ('https://p/data/2/fileData.do', 'HTTP status=503', 8) t(url, error, n)")
+    for how, kept in (("left", {1: ("", 7), 2: ("fetch_detail_httpx", None), 3: ("empty_url", None)}), ("inner", {1: ("", 7), 2: ("fetch_detail_httpx", None)})):
+        chosen = A.choose_response(items, parsed, "https://p", how)
+        assert "Broadcast" not in chosen._jdf.queryExecution().executedPlan().toString()
+        assert {r["k"]: (r["stage"], r["page"]["n"] if r["page"] else None) for r in chosen.collect()} == kept
