@@ -11,7 +11,7 @@ from folio_spark.operators import attempts as A
 from folio_spark.operators import downloads as W
 from folio_spark.operators import merge as G
 from folio_spark.operators import telemetry as T
-from folio_spark.plans.metadata import retry_due
+from folio_spark.plans.metadata import retry_due, wanted_pages
 from folio_spark.sources import tables as B
 
 
@@ -175,3 +175,13 @@ def test_answers_are_never_broadcast(spark):
         chosen = A.choose_response(items, parsed, "https://p", how)
         assert "Broadcast" not in chosen._jdf.queryExecution().executedPlan().toString()
         assert {r["k"]: (r["stage"], r["page"]["n"] if r["page"] else None) for r in chosen.collect()} == kept
+
+
+def test_pages_nobody_asks_for_are_left_out(spark):
+    """With many items too few pages pass by chance to matter, and every page that is asked for passes."""
+    address = F.concat(F.lit("https://p/data/"), F.col("id").cast("string"), F.lit("/fileData.do"))
+    items = spark.range(1_500_000).select(address.alias("detail_url"))
+    pages = spark.range(1_400_000, 1_600_000).select("id", F.when(F.col("id") != 1_400_007, address).alias("url"))
+    got = wanted_pages(items, pages, "https://p").agg(F.expr("count_if(id < 1500000)").alias("wanted"), F.expr("count_if(id >= 1500000)").alias("others")).first()
+    assert wanted_pages(items, pages, "https://p").columns == pages.columns
+    assert got["wanted"] == 99_999 and got["others"] < 5_000
